@@ -29,6 +29,6 @@ def pseudonymise_ids(df: DataFrame, salt: str = "", mode: str = "sha2", path: st
         return out
 
     renamed = F.array_join(F.transform(F.split(F.col(path), "/"), element), "/")
-    columns = [F.col(f"_{c}").alias(c) if c in ID_COLUMNS else renamed.alias(c) if c == path else F.col(c)
-               for c in df.columns]
-    return hashed.select(*columns)
+    # The path is rewritten while the columns still hold the original identifiers.
+    moved = hashed.withColumn(path, renamed)
+    return moved.select(*(F.col(f"_{c}").alias(c) if c in ID_COLUMNS else F.col(c) for c in df.columns))

@@ -19,7 +19,10 @@ def with_position(df: DataFrame, order: list[str], name: str = "pos", total: str
     The range-sorted rows are checkpointed so that the counts and the rows they number come
     from the same slices. Only one record per slice is gathered for the running sum.
     """
-    ordered = (df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Rows with equal sort values, even exact copies, are split by the task they come from.
+    keys = [*order, "_source"]
+    ordered = (df.withColumn("_source", F.spark_partition_id())
+               .repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_source")
                .withColumn("_id", F.monotonically_increasing_id()))
     slices = reliable(ordered).withColumn("_slice", F.shiftright("_id", 33))
     counts = slices.groupBy("_slice").agg(F.count(F.lit(1)).alias("_rows"))

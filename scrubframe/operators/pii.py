@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubframe.operators.allowlist import is_safe_text
+from scrubframe.operators.numbering import with_group_position
 from scrubframe.operators.rects import FRAME_KEYS
+from scrubframe.session import split_hot_groups
 
 # Labels of each entity detector and their common names; other labels are dropped.
 ENTITY_LABELS = {
@@ -49,13 +51,19 @@ def pii_flag(texts: DataFrame, entities: DataFrame, engine: str | None, key: str
 def frame_text_summary(items: DataFrame, order: str = "ord", segment: int = 1000) -> DataFrame:
     """Texts of each frame joined by blanks, with the allowlist's decision on the joined text.
 
-    Items are numbered per file by ``order``. A frame with more text than one ``segment`` of
-    numbers gives several rows, in order, so that no row or task holds an unbounded text.
+    A frame with more than ``segment`` items gives several rows, in order, so that no row or
+    task holds an unbounded text; the whole text is their concatenation. Only such frames are
+    numbered, by a range shuffle that splits them over tasks.
     """
-    seg = F.floor((F.col(order) - 1) / segment).cast("bigint")
+    few, many = split_hot_groups(items, FRAME_KEYS, segment)
+    first = few.select(*FRAME_KEYS, order, "ocrtext", F.lit(0).cast("bigint").alias("segment"))
+    if many is not None:
+        placed = with_group_position(many.select(*FRAME_KEYS, order, "ocrtext"), FRAME_KEYS, [order], "_pos")
+        number = F.floor((F.col("_pos") - 1) / segment).cast("bigint")
+        first = first.unionByName(placed.withColumn("segment", number).drop("_pos"))
     ordered = F.sort_array(F.collect_list(F.struct(F.col(order), F.col("ocrtext"))))
     joined = F.array_join(F.transform(ordered, lambda s: F.concat(s["ocrtext"], F.lit(" "))), "")
-    rows = (items.groupBy(*FRAME_KEYS, seg.alias("segment"))
+    rows = (first.groupBy(*FRAME_KEYS, "segment")
             .agg(joined.alias("ocrtext"), F.count(F.lit(1)).alias("n_items")))
     flag = F.when(F.col("ocrtext") == "", -1).when(is_safe_text(F.col("ocrtext")), 0).otherwise(1)
     null_box = [F.lit(-1).alias(c) for c in ("box_left", "box_top", "box_right", "box_bottom")]

@@ -188,10 +188,10 @@ def maximal_rects(rects: DataFrame, across_frames: bool = False, order: str | No
 
     few, many = split_hot_groups(valid, group, cell_limit)
     # Partitioned by frame, the merge and both sides of the comparison share one shuffle.
-    few_left = _uncovered(merge(few.repartition(*group)), group, by_cell=False)
-    many_left = _uncovered(merge(many), group, by_cell=True) if not order else (
-        merge(many).join(_uncovered(many.select(*keys).distinct(), group, by_cell=True), keys, "left_semi"))
-    out = few_left.unionByName(many_left)
+    out = _uncovered(merge(few.repartition(*group)), group, by_cell=False)
+    if many is not None:
+        left = _uncovered(many.select(*keys).distinct(), group, by_cell=True)
+        out = out.unionByName(merge(many).join(left, keys, "left_semi") if order else left)
     if not order:
         return out
     return out.select(*keys, *(F.col(f"_last.{c}").alias(c) for c in [order, *(carry or [])]))
@@ -300,12 +300,13 @@ def fold_rects(rects: DataFrame, order: str = "ord", coalesce: bool = False, acr
     keys = group or (["filename"] if across_frames else FRAME_KEYS)
     valid = rects.where(rect_is_valid(box())).select(*keys, *BOX_COLUMNS, "ocrtext", order)
     few, many = split_hot_groups(valid, keys, cell_limit)
-    columns = _islands(many, keys, "box_left", "box_right", "_ix")
-    cut = _islands(columns, [*keys, "_ix"], "box_top", "box_bottom", "_iy")
     flat = few.withColumn("_ix", F.lit(0).cast("bigint")).withColumn("_iy", F.lit(0).cast("bigint"))
+    if many is not None:
+        columns = _islands(many, keys, "box_left", "box_right", "_ix")
+        cut = _islands(columns, [*keys, "_ix"], "box_top", "box_bottom", "_iy")
+        flat = flat.unionByName(cut.select(*flat.columns))
     islands = [*keys, "_ix", "_iy"]
-    ordered = (flat.unionByName(cut.select(*flat.columns))
-               .repartition(*islands).sortWithinPartitions(*islands, order))
+    ordered = flat.repartition(*islands).sortWithinPartitions(*islands, order)
     fields = [*keys, *BOX_COLUMNS, "ocrtext", order]
     schema = T.StructType([valid.schema[f] for f in fields])
     n_keys = len(keys)

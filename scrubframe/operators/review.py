@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scrubframe.session import sorted_by
+
+
+# Sequence numbers per stretch of an action log.
+_STRETCH = 65_536
+
 
 def review_rows(review: DataFrame) -> DataFrame:
     return review
@@ -53,10 +59,20 @@ def toggle_mark(events: DataFrame) -> DataFrame:
     """
     explicit = events.where(F.col("action").isin("set", "clear")).groupBy("filename").agg(
         F.max(F.struct("seq", "action")).alias("_set"))
-    toggles = events.where(F.col("action") == "toggle").select("filename", "seq")
-    flips = (toggles.join(explicit, "filename", "left")
-             .groupBy("filename").agg(F.count_if(
-                 F.col("_set").isNull() | (F.col("seq") > F.col("_set.seq"))).alias("_flips")))
+    # Toggles are counted per stretch of sequence numbers before they meet the last explicit
+    # action; only the stretch it falls into is compared row by row. The log of one file is
+    # thus spread over tasks however long it is.
+    stretch = F.floor(F.col("seq") / _STRETCH)
+    toggles = events.where(F.col("action") == "toggle").select("filename", "seq", stretch.alias("_stretch"))
+    coarse = toggles.groupBy("filename", "_stretch").agg(F.count(F.lit(1)).alias("_n")).join(
+        explicit, "filename", "left")
+    later = coarse.where(F.col("_set").isNull() | (F.col("_stretch") > F.floor(F.col("_set.seq") / _STRETCH)))
+    border = explicit.select("filename", F.floor(F.col("_set.seq") / _STRETCH).alias("_stretch"),
+                             F.col("_set.seq").alias("_at"))
+    same = toggles.join(border, ["filename", "_stretch"]).where("seq > _at").groupBy("filename").agg(
+        F.count(F.lit(1)).alias("_n"))
+    flips = (later.select("filename", "_n").unionByName(same)
+             .groupBy("filename").agg(F.sum("_n").alias("_flips")))
     files = events.where(F.col("action").isin("set", "clear", "toggle")).select("filename").distinct()
     rows = files.join(explicit, "filename", "left").join(flips, "filename", "left")
     start = F.coalesce(F.col("_set.action") == "set", F.lit(False))
@@ -92,7 +108,7 @@ def relabel(events: DataFrame, labels: list[str] | None = None) -> DataFrame:
 
 
 def order_by_last_modified(df: DataFrame) -> DataFrame:
-    return df.orderBy("last_modified")
+    return sorted_by(df, "last_modified")
 
 
 def limit_manifest(df: DataFrame, n: int = 10_000) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from scrubframe.functions import boxes as B
 from scrubframe.functions.boxes import BOX_COLUMNS, BOX_TYPE
 from scrubframe.operators.rects import rects_valid
+from scrubframe.session import sorted_by
 
 
 class Rule(NamedTuple):
@@ -115,7 +116,7 @@ def rects_join_review(rects: DataFrame, review: DataFrame) -> DataFrame:
 
 
 def order_by_device(df: DataFrame) -> DataFrame:
-    return df.orderBy("modality", "model", "n_rows", "n_cols")
+    return sorted_by(df, "modality", "model", "n_rows", "n_cols")
 
 
 def rects_of_done_files(rects: DataFrame, review: DataFrame) -> DataFrame:

@@ -62,10 +62,9 @@ def suggest_similar_rects(targets: DataFrame, review: DataFrame, rects: DataFram
         other = F.col("only_file").isNull() | (F.col("only_file") != F.col("filename"))
         return pairs.where(other).select("filename", *BOX_COLUMNS)
     boxes = (_reviewed_boxes(review, rects, frame, overlay, only_done)
-             .withColumnRenamed("filename", "_from")
-             .withColumn("_order", F.struct("_from", "ord")))
+             .withColumnRenamed("filename", "_from"))
     wanted = targets.select("filename", *SIMILAR_KEYS)
     pairs = wanted.join(boxes, SIMILAR_KEYS).where(F.col("_from") != F.col("filename"))
-    order = F.concat_ws("|", "_from", F.lpad(F.col("ord").cast("string"), 19, "0"))
+    order = F.concat_ws("|", "_from", F.col("ord").cast("string"))
     keyed = pairs.select("filename", "frame", "overlay", *BOX_COLUMNS, "ocrtext", order.alias("_order"))
     return fold_rects(keyed, order="_order", coalesce=True, group=["filename", "frame", "overlay"])

@@ -43,7 +43,9 @@ from {orders}
 """
 
 VIEWS["fx_rects"] = r"""
-select concat('img', l_orderkey) as filename, cast(ord as int) as ord,
+select concat('img', l_orderkey) as filename, 
+  concat(l_linenumber, '-', lpad(cast(l_partkey as string), 12, '0'), '-', lpad(cast(l_suppkey as string), 12, '0'), '-',
+    lpad(cast(cast(l_quantity as int) as string), 3, '0')) as ord,
   cast(l_linenumber % 2 as int) as frame,
   cast(case when l_linenumber % 5 = 0 then l_suppkey % 2 else -1 end as int) as overlay,
   cast(case when l_linenumber = 7 then -1 else l_partkey % 40 end as int) as box_left,
@@ -57,8 +59,7 @@ select concat('img', l_orderkey) as filename, cast(ord as int) as ord,
   cast(l_suppkey % 3 - 1 as int) as nerpii,
   cast(l_partkey % 100 as double) / 100 as conf,
   l_shipdate as last_modified
-from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity,
-        l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as ord from {lineitem}) t
+from {lineitem}
 """
 
 VIEWS["fx_review"] = r"""

@@ -126,10 +126,15 @@ def _(t: Tables) -> DataFrame:
                        P.overlay_bit(F.col("nerpii")).alias("bit"))
 
 
-@query("redact_frames_pixels")
+@query("redact_frames_pixels", """
+with px as (select filename, frame, overlay, i, pixels[i] as p, (i - 1) % 8 as x, (i - 1) // 8 as y
+  from (select *, unnest(range(1, 65)) as i from {fx_frames}))
+select filename, frame, overlay, string_agg(cast(case when exists (select 1 from {fx_frame_rects} b where b.filename = px.filename
+    and b.overlay = -1 and (b.frame = -1 or b.frame = px.frame) and box_right > box_left and box_bottom > box_top
+    and x between box_left and box_right and y between box_top and box_bottom)
+  then p - p % 256 else p end as varchar), ',' order by i) as pixels from px group by 1, 2, 3""")
 def _(t: Tables) -> DataFrame:
-    """Whole redacted frames of the boxes left after dropping those hidden in others."""
+    """Whole redacted frames, from the boxes left after dropping those hidden in others."""
     kept = rects.maximal_rects(t.fx_frame_rects)
-    return redact.redact_frames(t.fx_frames, kept).select("filename", "frame", "overlay", "pixels")
-
-
+    done = redact.redact_frames(t.fx_frames, kept)
+    return done.select("filename", "frame", "overlay", F.array_join(F.col("pixels").cast("array<string>"), ",").alias("pixels"))

@@ -147,14 +147,10 @@ def _(t: Tables) -> DataFrame:
     return incremental.redact_all_known(t.fx_rects, t.fx_review.where("mark"))
 
 
-@query("stream_new_files", f"""
-select concat('img', l_orderkey) as filename, count(*) as n, cast(sum(l_linenumber) as bigint) as frames from {{lineitem}} group by 1""")
+@query("stream_new_files", "select concat('img', o_orderkey) as filename, o_custkey as device_no from {orders}")
 def _(t: Tables) -> DataFrame:
     root = f"{checkpoint_root(t.spark)}/stream-{uuid.uuid4().hex}"
-    landing = new_files.read_landing(t.spark, t.lineitem.schema, f"{t.folder}/lineitem.parquet*")
-    boxes = landing.select(F.concat(F.lit("img"), "l_orderkey").alias("filename"), F.col("l_linenumber").alias("frame"))
-    new_files.stream_new_files(boxes, f"{root}/out", f"{root}/log").awaitTermination()
-    stored = t.spark.read.parquet(f"{root}/out")
-    return stored.groupBy("filename").agg(F.count(F.lit(1)).alias("n"), F.sum("frame").alias("frames"))
-
-
+    landing = new_files.read_landing(t.spark, t.orders.schema, f"{t.folder}/orders.parquet*")
+    arrived = landing.select(F.concat(F.lit("img"), "o_orderkey").alias("filename"), F.col("o_custkey").alias("device_no"))
+    new_files.stream_new_files(arrived, f"{root}/out", f"{root}/log").awaitTermination()
+    return new_files.read_stored(t.spark, f"{root}/out")

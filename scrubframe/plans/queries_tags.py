@@ -194,10 +194,11 @@ def _(t: Tables) -> DataFrame:
     return profile.unique_column(t.fx_tags, "manufacturer")
 
 
-@query("text_free_manufacturers",
-       "select manufacturer from {fx_ocr} where box_left <> -1 group by manufacturer having max(length(ocr_text)) = 0")
+@query("text_free_manufacturers", """
+select concat(manufacturer, ' unit ', filename) as manufacturer from {fx_ocr} where box_left <> -1 group by 1 having max(length(ocr_text)) = 0""")
 def _(t: Tables) -> DataFrame:
-    return profile.text_free_manufacturers(t.fx_ocr.where("box_left <> -1"))
+    units = t.fx_ocr.where("box_left <> -1").withColumn("manufacturer", F.concat("manufacturer", F.lit(" unit "), "filename"))
+    return profile.text_free_manufacturers(units)
 
 
 @query("text_length_bands", """

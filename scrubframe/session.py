@@ -67,12 +67,27 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return df
 
 
-def split_hot_groups(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
+def split_hot_groups(df: DataFrame, keys: list[str], limit: int,
+                     max_broadcast: int = 200_000) -> tuple[DataFrame, DataFrame | None]:
     """Split rows into those of groups with at most ``limit`` rows and those of larger groups.
 
-    The counts are combined before the shuffle, so a group holding a third of all rows costs
-    one small record per task. When no group is large, adaptive execution finds the key list
-    empty and drops the second branch.
+    The counts are combined before their shuffle, so a group holding a third of all rows costs
+    one small record per task. They are taken before planning: usually no group is large, the
+    second part is None and the rows need no join at all. A short list of large groups is
+    broadcast, a long one joined by its keys.
     """
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = counts.where(F.col("_n") > limit).select(*keys)
+    found = large.limit(max_broadcast + 1).count()
+    if found == 0:
+        return df, None
+    if found <= max_broadcast:
+        large = F.broadcast(large)
     return df.join(large, keys, "left_anti"), df.join(large, keys, "left_semi")
+
+
+def sorted_by(df: DataFrame, *order: str) -> DataFrame:
+    """Global sort that also spreads rows with equal sort values, even exact copies, over tasks."""
+    tie = F.xxhash64(*df.columns)
+    placed = df.withColumn("_tie", tie).withColumn("_source", F.spark_partition_id())
+    return placed.orderBy(*order, "_tie", "_source").drop("_tie", "_source")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scrubframe.functions.boxes import BOX_COLUMNS
 from scrubframe.functions.text import ner_enum, ner_enum_name, ocr_enum, ocr_enum_name
+from scrubframe.session import sorted_by
 
 # Columns of a detection result file.
 OCR_COLUMNS = ["filename", "frame", "overlay", "imagetype", "manufacturer", "burnedinannotation", "ocr_engine",
@@ -79,11 +80,11 @@ def append_rects(df: DataFrame, path: str) -> None:
 
 def dump_rects_csv(rects: DataFrame) -> DataFrame:
     """All box rows, oldest change first."""
-    return rects.orderBy("last_modified")
+    return sorted_by(rects, "last_modified")
 
 
 def dump_review_csv(review: DataFrame) -> DataFrame:
-    return review.orderBy("last_modified")
+    return sorted_by(review, "last_modified")
 
 
 def dump_db_json(rects: DataFrame, review: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,6 +95,6 @@ def dump_db_json(rects: DataFrame, review: DataFrame) -> tuple[DataFrame, DataFr
         listed = review.withColumn("image_type", F.from_json(fixed, "array<string>"))
 
     def lines(df: DataFrame) -> DataFrame:
-        return df.orderBy("last_modified").select(F.to_json(F.struct("*")).alias("value"))
+        return sorted_by(df, "last_modified").select(F.to_json(F.struct("*")).alias("value"))
 
     return lines(rects), lines(listed)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -16,20 +17,28 @@ def read_landing(spark: SparkSession, schema: StructType, path: str, max_files:
 
 
 def stream_new_files(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Append the rows of files not yet stored in ``out``, then stop when the input is used up.
+    """Append the rows of files not stored by an earlier batch, then stop when the input is used up.
 
-    Each batch goes to its own folder, named after the batch, and replaces it when the batch
-    is retried, so a lost executor or driver leaves neither gaps nor repeats. A file that
-    arrives again in a later batch is skipped by an anti join against the earlier folders.
+    All rows of a file are expected in one arrival. Each batch writes its rows and the names
+    of its files to folders of its own and replaces them when it is retried, so a lost
+    executor or driver leaves neither gaps nor repeats. Later batches skip known files by an
+    anti join against the name lists, which hold one row per file.
     """
+    names = T.StructType([T.StructField("filename", T.StringType()), T.StructField("batch_id", T.LongType())])
+
     def append(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         fresh = batch
-        earlier = spark.read.schema(batch.schema.add("batch_id", "bigint")).option("basePath", out)
         if batch_id > 0:
-            stored = earlier.parquet(out).where(F.col("batch_id") < batch_id)
-            fresh = skip_processed(batch, stored)
-        fresh.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+            known = batch.sparkSession.read.schema(names).parquet(f"{out}/names")
+            fresh = skip_processed(batch, known.where(F.col("batch_id") < batch_id))
+        fresh.write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
+        stored = batch.sparkSession.read.schema(batch.schema).parquet(f"{out}/rows/batch_id={batch_id}")
+        stored.select("filename").distinct().write.mode("overwrite").parquet(f"{out}/names/batch_id={batch_id}")
 
     return (stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def read_stored(spark: SparkSession, out: str) -> DataFrame:
+    """Everything stored so far."""
+    return spark.read.parquet(f"{out}/rows").drop("batch_id")
