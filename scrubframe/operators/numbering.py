@@ -40,10 +40,10 @@ def with_position(df: DataFrame, order: list[str], name: str = "pos", total: str
 
 def with_group_position(df: DataFrame, group: list[str], order: list[str], name: str = "pos") -> DataFrame:
     """Position of every row inside its group, without gathering a group in one task."""
-    numbered = with_position(df, [*group, *order], "_pos")
-    first = numbered.groupBy(*group).agg(F.min("_pos").alias("_first"))
-    return (numbered.join(first, group).withColumn(name, F.col("_pos") - F.col("_first") + 1)
-            .drop("_pos", "_first"))
+    numbered = with_position(df, [*group, *order], "_global")
+    first = numbered.groupBy(*group).agg(F.min("_global").alias("_first"))
+    return (numbered.join(first, group).withColumn(name, F.col("_global") - F.col("_first") + 1)
+            .drop("_global", "_first"))
 
 
 def split_halves(df: DataFrame, order: list[str]) -> DataFrame:

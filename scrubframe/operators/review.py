@@ -122,7 +122,6 @@ def label_frequency(labels: DataFrame, label: str = "Label") -> DataFrame:
     The labels are counted first, so the total is taken over a handful of counts.
     """
     counts = labels.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.agg(F.sum("n").alias("_all"), F.sum(F.when(F.col(label).isNotNull(), F.col("n")).otherwise(0)).alias("_done"))
-    percent = F.round(F.col("_done") / F.col("_all") * 100).cast("int")
-    joined = counts.withColumn("_one", F.lit(1)).join(F.broadcast(whole.withColumn("_one", F.lit(1))), "_one")
-    return joined.select(label, "n", percent.alias("progress"))
+    done = F.sum(F.when(F.col(label).isNotNull(), F.col("n")).otherwise(0))
+    percent = counts.select(F.round(done / F.sum("n") * 100).cast("int")).scalar()
+    return counts.select(label, "n", percent.alias("progress"))

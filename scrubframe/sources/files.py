@@ -82,7 +82,7 @@ def list_objects_capped(keys: DataFrame, n: int = 200, key: str = "key") -> Data
 
 def src_rules(spark: SparkSession, path: str) -> DataFrame:
     """Recipe files: (file, rule_no, label, predicates, boxes). A file is one small document."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     blocks = files.select("file", F.posexplode(F.split("value", r"(?m)^LABEL[ \t]+")).alias("rule_no", "_b"))
     lines = F.filter(F.transform(F.split("_b", "\n"), lambda s: F.trim(F.regexp_replace(s, r"#.*$", ""))),
                      lambda s: s != "")
