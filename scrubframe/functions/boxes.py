@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import pandas as pd
@@ -40,6 +41,11 @@ def box_struct(b: Box) -> Column:
     return F.struct(*(c.cast("int").alias(n) for c, n in zip(b, BOX_COLUMNS)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def rect_is_valid(b: Box) -> Column:
     return (b.top >= 0) & (b.bottom > b.top) & (b.left >= 0) & (b.right > b.left)
 
@@ -188,18 +194,19 @@ def fold_box_array(boxes: Column, start: Column | None = None, coalesce: bool =
     """
     first = start if start is not None else F.array().cast(f"array<{BOX_TYPE}>")
 
-    def add(kept: Column, new: Column) -> Column:
+    def add_to(left_over: Column, new: Column) -> Column:
         nb = box_of(new)
-        left_over = F.filter(kept, lambda k: ~rect_contains_rect(nb, box_of(k)))
         hidden = F.exists(left_over, lambda k: rect_contains_rect(box_of(k), nb))
         appended = F.array_append(left_over, new)
         if coalesce:
             at = F.array_position(F.transform(left_over, lambda k: rect_similar(box_of(k), nb)), True)
-            grown = F.transform(left_over, lambda k, i: F.when(
-                i + 1 == at, box_struct(rect_mbr(box_of(k), nb))).otherwise(k))
-            appended = F.when(at > 0, grown).otherwise(appended)
-        return (F.when(~rect_is_valid(nb), kept).when(hidden, left_over).otherwise(appended)
-                .cast(f"array<{BOX_TYPE}>"))
+            appended = let(at, lambda p: F.when(p > 0, F.transform(left_over, lambda k, i: F.when(
+                i + 1 == p, box_struct(rect_mbr(box_of(k), nb))).otherwise(k))).otherwise(F.array_append(left_over, new)))
+        return F.when(hidden, left_over).otherwise(appended).cast(f"array<{BOX_TYPE}>")
+
+    def add(kept: Column, new: Column) -> Column:
+        uncovered = F.filter(kept, lambda k: ~rect_contains_rect(box_of(new), box_of(k)))
+        return F.when(~rect_is_valid(box_of(new)), kept).otherwise(let(uncovered, lambda u: add_to(u, new)))
 
     return F.aggregate(boxes, first, add)
 
@@ -218,21 +225,24 @@ def complement_boxes(keep: Column, width: Column, height: Column, exact: bool =
         return rect_is_valid(b)
 
     def cut(piece: Column, hole: Column) -> Column:
-        p, h = box_of(piece), box_of(hole)
-        inner = rect_overlap(p, h, touching=exact)
-        around = F.array(
-            box_struct(Box(p.left, p.top, p.right, inner.top - step)),
-            box_struct(Box(p.left, inner.top, inner.left - step, inner.bottom)),
-            box_struct(Box(inner.right + step, inner.top, p.right, inner.bottom)),
-            box_struct(Box(p.left, inner.bottom + step, p.right, p.bottom)))
-        return F.when(usable(inner), around).otherwise(F.array(piece))
+        p = box_of(piece)
+
+        def around(overlap: Column) -> Column:
+            inner = box_of(overlap)
+            pieces = F.array(
+                box_struct(Box(p.left, p.top, p.right, inner.top - step)),
+                box_struct(Box(p.left, inner.top, inner.left - step, inner.bottom)),
+                box_struct(Box(inner.right + step, inner.top, p.right, inner.bottom)),
+                box_struct(Box(p.left, inner.bottom + step, p.right, p.bottom)))
+            return F.when(usable(inner), pieces).otherwise(F.array(piece))
+
+        return let(box_struct(rect_overlap(p, box_of(hole), touching=exact)), around)
 
     def subtract(pieces: Column, hole: Column) -> Column:
         cuts = F.array_distinct(F.filter(F.flatten(F.transform(pieces, lambda p: cut(p, hole))),
                                          lambda p: usable(box_of(p))))
-        return F.filter(cuts, lambda p: ~F.exists(
-            cuts, lambda q: (q != p) & rect_contains_rect(box_of(q), box_of(p)))
-        ).cast(f"array<{BOX_TYPE}>")
+        return let(cuts, lambda c: F.filter(c, lambda p: ~F.exists(
+            c, lambda q: (q != p) & rect_contains_rect(box_of(q), box_of(p))))).cast(f"array<{BOX_TYPE}>")
 
     whole = F.array(box_struct(Box(F.lit(0), F.lit(0), width - 1, height - 1)))
     return F.when(F.size(keep) == 0, F.array().cast(f"array<{BOX_TYPE}>")).otherwise(

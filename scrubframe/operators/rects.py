@@ -20,8 +20,8 @@ from scrubframe.session import split_hot_groups
 FRAME_KEYS = ["filename", "frame", "overlay"]
 SUMMARY = -1
 
-# A group up to this size is compared by a join on its key alone; larger ones are split into cells.
-CELL_LIMIT = 4096
+# A group up to this size is compared as one list; larger ones are split into cells.
+CELL_LIMIT = 512
 # Edge of the cells of each level. A box lives on the first level whose cells are no smaller than it.
 CELL_EDGES = (64, 1024, 16384, 1 << 31)
 
@@ -143,58 +143,64 @@ def _cell_keys(group: list[str]) -> list[str]:
     return [*group, "_level", "_cx", "_cy"]
 
 
-def _uncovered(boxes: DataFrame, group: list[str], by_cell: bool) -> DataFrame:
-    """Distinct boxes that no other box of their group covers."""
-    inner, outer = boxes.alias("i"), boxes.alias("o")
+def _uncovered_by_frame(boxes: DataFrame, group: list[str], carry: list[str]) -> DataFrame:
+    """Boxes no other box of their group covers, for groups of bounded size: one shuffle, no self join."""
+    listed = boxes.groupBy(*group).agg(F.collect_set(F.struct(*BOX_COLUMNS, *carry)).alias("_all"))
 
-    def covered(keys: list[str]) -> Column:
-        cond = rect_contains_rect(box(alias="o"), box(alias="i"))
-        cond = cond & ~B.rect_equal(box(alias="o"), box(alias="i"))
-        for k in keys:
-            cond = cond & (F.col(f"i.{k}") == F.col(f"o.{k}"))
-        return cond
+    def hides(o: Column, b: Column) -> Column:
+        same = B.rect_equal(B.box_of(o), B.box_of(b))
+        if carry:
+            later = F.struct(*(o[c].alias(c) for c in carry)) > F.struct(*(b[c].alias(c) for c in carry))
+            same = same & ~later
+        return rect_contains_rect(B.box_of(o), B.box_of(b)) & ~same
 
-    if not by_cell:
-        return inner.join(outer, covered(group), "left_anti")
-    # A covering box is at least as large, so it lies on the same or a higher level, in the
-    # cell of the covered box's corner. Of the boxes of a cell with equal left, top and right
-    # edges only the tallest can decide.
+    kept = F.filter("_all", lambda b: ~F.exists("_all", lambda o: hides(o, b)))
+    return listed.select(*group, F.inline(kept))
+
+
+def _uncovered_by_cell(boxes: DataFrame, group: list[str]) -> DataFrame:
+    """Distinct boxes no other box of their group covers, compared cell by cell.
+
+    A covering box is at least as large, so it lies on the same or a higher level, in the
+    cell of the covered box's corner. Of the boxes of a cell with equal left, top and right
+    edges only the tallest can decide.
+    """
     b = box()
-    tall = (with_box_cells(boxes).groupBy(*_cell_keys(group), "box_left", "box_top", "box_right")
+    keys = _cell_keys(group)
+    tall = (with_box_cells(boxes).groupBy(*keys, "box_left", "box_top", "box_right")
             .agg(F.max("box_bottom").alias("box_bottom")))
     probes = with_point_cells(boxes, b.left, b.top, _box_level(b))
-    hidden = (probes.alias("i").join(tall.alias("o"), covered(_cell_keys(group)), "left_semi")
+    covered = rect_contains_rect(box(alias="o"), box(alias="i")) & ~B.rect_equal(box(alias="o"), box(alias="i"))
+    for k in keys:
+        covered = covered & (F.col(f"i.{k}") == F.col(f"o.{k}"))
+    hidden = (probes.alias("i").join(tall.alias("o"), covered, "left_semi")
               .select(*group, *BOX_COLUMNS).distinct())
     return boxes.join(hidden, [*group, *BOX_COLUMNS], "left_anti")
 
 
 def maximal_rects(rects: DataFrame, across_frames: bool = False, order: str | None = None,
-                  carry: list[str] | None = None, cell_limit: int = CELL_LIMIT) -> DataFrame:
+                  carry: list[str] | None = None, cell_limit: int = CELL_LIMIT,
+                  counted: DataFrame | None = None) -> DataFrame:
     """Valid boxes not hidden inside another box of their frame; equal boxes count once.
 
-    With ``order`` the ``carry`` columns come from the last of several equal boxes. Equal
-    boxes are merged before anything else, so repeats of a hot file never meet in one task.
-    Frames with many different boxes are compared cell by cell, the others by frame.
+    With ``order`` the ``carry`` columns come from the last of several equal boxes. Frames of
+    up to ``cell_limit`` boxes are compared as one list. In larger ones equal boxes are merged
+    first, so repeats of a hot file never meet in one task, and the rest are compared cell by
+    cell. ``counted`` is a table with at least the same boxes that is cheaper to count.
     """
     group = ["filename"] if across_frames else FRAME_KEYS
     valid = rects.where(rect_is_valid(box()))
     keys = [*group, *BOX_COLUMNS]
-
-    def merge(part: DataFrame) -> DataFrame:
-        if not order:
-            return part.select(*keys).distinct()
-        last = F.max(F.struct(order, *(carry or [])))
-        return part.groupBy(*keys).agg(last.alias("_last"))
-
-    few, many = split_hot_groups(valid, group, cell_limit)
-    # Partitioned by frame, the merge and both sides of the comparison share one shuffle.
-    out = _uncovered(merge(few.repartition(*group)), group, by_cell=False)
+    extra = [order, *(carry or [])] if order else []
+    few, many = split_hot_groups(valid, group, cell_limit, counted=counted)
+    out = _uncovered_by_frame(few, group, extra)
     if many is not None:
-        left = _uncovered(many.select(*keys).distinct(), group, by_cell=True)
-        out = out.unionByName(merge(many).join(left, keys, "left_semi") if order else left)
-    if not order:
-        return out
-    return out.select(*keys, *(F.col(f"_last.{c}").alias(c) for c in [order, *(carry or [])]))
+        left = _uncovered_by_cell(many.select(*keys).distinct(), group)
+        if order:
+            merged = many.groupBy(*keys).agg(F.max(F.struct(*extra)).alias("_last"))
+            left = merged.join(left, keys, "left_semi").select(*keys, *(F.col(f"_last.{c}").alias(c) for c in extra))
+        out = out.unionByName(left)
+    return out
 
 
 def rect_intersect_pairs(left: DataFrame, right: DataFrame, by_cell: bool = False) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from scrubframe.functions import pixels as P
 from scrubframe.functions.boxes import BOX_COLUMNS
 from scrubframe.operators.rects import FRAME_KEYS, rects_valid
+from scrubframe.session import only_wanted, split_hot_groups
 
 MARKS = ["mark_x", "mark_y", "mark_d"]
 
@@ -43,30 +44,46 @@ def rects_to_frames(rects: DataFrame, frames: DataFrame) -> DataFrame:
     return exact.unionByName(wild.select(*FRAME_KEYS, *BOX_COLUMNS))
 
 
-def _marks(rects: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
-    """Corner marks per key as three parallel arrays, clipped to the frame size."""
+def _marks(few: DataFrame, many: DataFrame | None, keys: list[str], sizes: DataFrame) -> DataFrame:
+    """Corner marks per key as three parallel arrays, clipped to the frame size.
+
+    Boxes of ``few`` meet the frame sizes first and their marks are summed where they lie,
+    after a single shuffle. Those of ``many`` sum their marks before the shuffle instead.
+    """
     left, top = F.col("box_left").cast("int"), F.col("box_top").cast("int")
     right, bottom = F.col("box_right").cast("int") + 1, F.col("box_bottom").cast("int") + 1
-    usable = (left >= 0) & (top >= 0) & (right > left) & (bottom > top)
     corners = F.array(*(F.struct(x.alias("x"), y.alias("y"), F.lit(d).alias("d"))
                         for x, y, d in ((left, top, 1), (right, top, -1), (left, bottom, -1), (right, bottom, 1))))
-    summed = (rects.where(usable).select(*keys, F.inline(corners))
-              .groupBy(*keys, "x", "y").agg(F.sum("d").alias("d")).where("d <> 0"))
-    inside = (summed.join(sizes, keys)
-              .withColumn("x", F.least("x", "n_cols")).withColumn("y", F.least("y", "n_rows"))
-              .where((F.col("x") < F.col("n_cols")) & (F.col("y") < F.col("n_rows")))
-              .groupBy(*keys, "x", "y").agg(F.sum("d").alias("d")))
-    listed = inside.groupBy(*keys).agg(F.collect_list(F.struct("x", "y", "d")).alias("_m"))
+    size = ["n_rows", "n_cols"]
+
+    def summed(marks: DataFrame, extra: list[str]) -> DataFrame:
+        return marks.groupBy(*keys, *extra, "x", "y").agg(F.sum("d").alias("d")).where("d <> 0")
+
+    placed = few.join(sizes, keys).select(*keys, *size, F.inline(corners))
+    if many is not None:
+        before = summed(many.select(*keys, F.inline(corners)), []).join(sizes, keys)
+        placed = placed.unionByName(before)
+    clipped = (placed.withColumn("x", F.least("x", "n_cols")).withColumn("y", F.least("y", "n_rows"))
+               .where((F.col("x") < F.col("n_cols")) & (F.col("y") < F.col("n_rows"))))
+    listed = summed(clipped, size).groupBy(*keys).agg(F.collect_list(F.struct("x", "y", "d")).alias("_m"))
     return listed.select(*keys, *(F.col(f"_m.{c}").alias(n) for c, n in zip("xyd", MARKS)))
 
 
-def frame_marks(rects: DataFrame, frames: DataFrame) -> DataFrame:
+def frame_marks(rects: DataFrame, frames: DataFrame, hot: int = 4096) -> DataFrame:
     """Marks of every frame that has boxes: its own and those of whole-file boxes."""
+    inside = ((F.col("box_left") >= 0) & (F.col("box_top") >= 0) & (F.col("box_right") >= F.col("box_left"))
+              & (F.col("box_bottom") >= F.col("box_top")))
     every = (F.col("frame") == -1) & (F.col("overlay") == -1)
     sizes = frames.select(*FRAME_KEYS, "n_rows", "n_cols")
     file_sizes = frames.groupBy("filename").agg(F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols"))
-    own = _marks(rects.where(~every), FRAME_KEYS, sizes)
-    whole = _marks(rects.where(every), ["filename"], file_sizes)
+    boxes = only_wanted(rects.where(inside).select(*FRAME_KEYS, *BOX_COLUMNS), frames, "filename")
+    few, many = split_hot_groups(boxes, FRAME_KEYS, hot)
+
+    def parts(cond: Column) -> list[DataFrame | None]:
+        return [p.where(cond) if p is not None else None for p in (few, many)]
+
+    own = _marks(*parts(~every), FRAME_KEYS, sizes)
+    whole = _marks(*parts(every), ["filename"], file_sizes)
     both = (sizes.select(*FRAME_KEYS).join(own, FRAME_KEYS, "left")
             .join(whole.select("filename", *(F.col(c).alias("all_" + c) for c in MARKS)), "filename", "left")
             .where(F.col("mark_x").isNotNull() | F.col("all_mark_x").isNotNull()))
@@ -185,7 +202,10 @@ def export_rects_no_pii(rects: DataFrame, strip_prefix: str | None = None) -> Da
 
 
 def redaction_report(after: DataFrame, rects: DataFrame) -> DataFrame:
-    """Per frame with boxes: boxes applied and non-zero image pixels left inside them (0 when redacted)."""
+    """Per frame with boxes: boxes applied and non-zero image pixels left inside them (0 when redacted).
+
+    ``after`` is read several times, so it should be the written result of the redaction.
+    """
     images = after.where(F.col("overlay") == -1)
     plain = rects_valid(rects).where(F.col("overlay") == -1)
     left = _count_left("pixels", "n_rows", "n_cols", "samples", stored_bits(F.col("bits_stored")), *MARKS)

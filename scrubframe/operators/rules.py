@@ -72,6 +72,13 @@ def match_rules(tags: DataFrame, rules: Sequence[Rule], columns: dict[str, str])
     return hits.withColumn("label", F.get(labels, F.col("rule_id") - 1))
 
 
+def _fixed_box(coords: str) -> Column:
+    """Box of a rule's own numbers, or of the whole frame for ``all``."""
+    if "all" in coords:
+        return B.parse_rule_coords(F.lit(coords), F.col("n_cols"), F.col("n_rows"))
+    return B.box_struct(B.Box(*(F.lit(int(n)) for n in coords.strip("() ").split(","))))
+
+
 def rule_boxes(tags: DataFrame, rules: Sequence[Rule], columns: dict[str, str]) -> DataFrame:
     """Matching images with array columns ``keep`` and ``redact``, in rule order."""
     def boxes_of(rule: Rule, kind: str) -> Column:
@@ -84,7 +91,7 @@ def rule_boxes(tags: DataFrame, rules: Sequence[Rule], columns: dict[str, str])
                     r["x0"].cast("int").alias("box_left"), r["y0"].cast("int").alias("box_top"),
                     r["x1"].cast("int").alias("box_right"), r["y1"].cast("int").alias("box_bottom"))))
             else:
-                parts.append(F.array(B.parse_rule_coords(F.lit(coords), F.col("n_cols"), F.col("n_rows"))))
+                parts.append(F.array(_fixed_box(coords)))
         return F.concat(*parts) if parts else F.array().cast(f"array<{BOX_TYPE}>")
 
     def collected(kind: str) -> Column:

@@ -34,7 +34,7 @@ def boxes_to_redact(found: DataFrame, glossary: DataFrame | None = None, **more:
     stored = rects.drop_huge_font(rects.rects_valid(found))
     unsafe = allowlist.apply_allowlist_before_redaction(stored.drop("nerengine"), glossary)
     sources = collect_box_sources(stored=unsafe, **more)
-    return rects.maximal_rects(sources)
+    return rects.maximal_rects(sources, counted=collect_box_sources(stored=found, **more))
 
 
 def redaction_summary(boxes: DataFrame) -> DataFrame:

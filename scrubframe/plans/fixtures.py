@@ -52,9 +52,8 @@ select concat('img', l_orderkey) as filename,
   cast(case when l_linenumber = 7 then -1 else l_suppkey % 40 end as int) as box_top,
   cast(case when l_linenumber = 7 then -1 else l_partkey % 40 + cast(l_quantity as int) * 4 end as int) as box_right,
   cast(case when l_linenumber = 7 then -1 else l_suppkey % 40 + cast(l_quantity as int) * 2 end as int) as box_bottom,
-  case l_partkey % 10 when 0 then 'AP ERECT' when 1 then 'NOT ERECT' when 2 then 'R' when 3 then 'jane maclean'
-    when 4 then 'jane maclan' when 5 then 'kV 54 mAs 2' when 6 then 'L AP Supine' when 7 then '' when 8 then 'ankle'
-    else 'WOOD GENERAL HOSPITAL' end as ocrtext,
+  split_part('AP ERECT|NOT ERECT|R|jane maclean|jane maclan|kV 54 mAs 2|L AP Supine||ankle|WOOD GENERAL HOSPITAL', '|',
+    cast(1 + l_partkey % 10 as int)) as ocrtext,
   cast(case when l_suppkey % 2 = 0 then 50 else 10 end as int) as nerengine,
   cast(l_suppkey % 3 - 1 as int) as nerpii,
   cast(l_partkey % 100 as double) / 100 as conf,

@@ -13,6 +13,7 @@ from scrubframe.operators import redact, rects
 from scrubframe.plans.catalog import query
 from scrubframe.plans.fixtures import Tables
 from scrubframe.plans.queries_boxes import BOX, FRAME, region_rects
+from scrubframe.session import reliable
 
 
 def sums(frames: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def _(t: Tables) -> DataFrame:
 select f.filename, f.frame, f.overlay, count(*) as n_boxes, cast(0 as bigint) as n_left from {fx_frames} f join {fx_frame_rects} r
   on r.filename = f.filename and r.overlay = -1 and (r.frame = -1 or r.frame = f.frame) group by 1, 2, 3""")
 def _(t: Tables) -> DataFrame:
-    after = redact.redact_frames(t.fx_frames, t.fx_frame_rects)
+    after = reliable(redact.redact_frames(t.fx_frames, t.fx_frame_rects))
     return redact.redaction_report(after, t.fx_frame_rects)
 
 

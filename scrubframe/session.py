@@ -67,16 +67,25 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return df
 
 
-def split_hot_groups(df: DataFrame, keys: list[str], limit: int,
-                     max_broadcast: int = 200_000) -> tuple[DataFrame, DataFrame | None]:
+def only_wanted(df: DataFrame, wanted: DataFrame, key: str, max_rows: int = 200_000) -> DataFrame:
+    """Drop rows without a partner early when the list of partners is short; otherwise change nothing."""
+    keys = wanted.select(key)
+    if keys.limit(max_rows + 1).count() > max_rows:
+        return df
+    return df.join(F.broadcast(keys), key, "left_semi")
+
+
+def split_hot_groups(df: DataFrame, keys: list[str], limit: int, max_broadcast: int = 200_000,
+                     counted: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Split rows into those of groups with at most ``limit`` rows and those of larger groups.
 
     The counts are combined before their shuffle, so a group holding a third of all rows costs
     one small record per task. They are taken before planning: usually no group is large, the
     second part is None and the rows need no join at all. A short list of large groups is
-    broadcast, a long one joined by its keys.
+    broadcast, a long one joined by its keys. ``counted`` may name a table with at least the
+    rows of ``df`` that is cheaper to count.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = (counted if counted is not None else df).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     large = counts.where(F.col("_n") > limit).select(*keys)
     found = large.limit(max_broadcast + 1).count()
     if found == 0:
