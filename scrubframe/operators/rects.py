@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from scrubframe.functions import boxes as B
 from scrubframe.functions.boxes import BOX_COLUMNS, box, rect_contains_point, rect_contains_rect, rect_is_valid
-from scrubframe.session import split_hot_groups
+from scrubframe.session import broadcast_if_small, reliable, split_hot_groups
 
 FRAME_KEYS = ["filename", "frame", "overlay"]
 SUMMARY = -1
@@ -158,24 +159,35 @@ def _uncovered_by_frame(boxes: DataFrame, group: list[str], carry: list[str]) ->
     return listed.select(*group, F.inline(kept))
 
 
-def _uncovered_by_cell(boxes: DataFrame, group: list[str]) -> DataFrame:
-    """Distinct boxes no other box of their group covers, compared cell by cell.
+def _covered(keys: list[str]) -> Column:
+    """Box ``i`` lies in the different box ``o`` with equal keys."""
+    cond = rect_contains_rect(box(alias="o"), box(alias="i")) & ~B.rect_equal(box(alias="o"), box(alias="i"))
+    for k in keys:
+        cond = cond & (F.col(f"i.{k}") == F.col(f"o.{k}"))
+    return cond
+
 
-    A covering box is at least as large, so it lies on the same or a higher level, in the
-    cell of the covered box's corner. Of the boxes of a cell with equal left, top and right
-    edges only the tallest can decide.
+def _uncovered_by_cell(boxes: DataFrame, group: list[str], largest: int = 256) -> DataFrame:
+    """Distinct boxes no other box of their group covers, for groups of any size.
+
+    The few largest boxes of a group hide most of the others, and comparing with them needs
+    no shuffle. What is left is compared cell by cell: a covering box is at least as large,
+    so it lies on the same or a higher level, in the cell of the covered box's corner. Of the
+    boxes of a cell with equal left, top and right edges only the tallest can decide.
     """
     b = box()
+    distinct = reliable(boxes)
+    by_size = Window.partitionBy(*group).orderBy(B.rect_area(b).desc(), *BOX_COLUMNS)
+    big = distinct.withColumn("_rank", F.row_number().over(by_size)).where(F.col("_rank") <= largest)
+    left = reliable(distinct.alias("i").join(
+        broadcast_if_small(big.drop("_rank")).alias("o"), _covered(group), "left_anti"))
     keys = _cell_keys(group)
-    tall = (with_box_cells(boxes).groupBy(*keys, "box_left", "box_top", "box_right")
+    tall = (with_box_cells(left).groupBy(*keys, "box_left", "box_top", "box_right")
             .agg(F.max("box_bottom").alias("box_bottom")))
-    probes = with_point_cells(boxes, b.left, b.top, _box_level(b))
-    covered = rect_contains_rect(box(alias="o"), box(alias="i")) & ~B.rect_equal(box(alias="o"), box(alias="i"))
-    for k in keys:
-        covered = covered & (F.col(f"i.{k}") == F.col(f"o.{k}"))
-    hidden = (probes.alias("i").join(tall.alias("o"), covered, "left_semi")
+    probes = with_point_cells(left, b.left, b.top, _box_level(b))
+    hidden = (probes.alias("i").join(tall.alias("o"), _covered(keys), "left_semi")
               .select(*group, *BOX_COLUMNS).distinct())
-    return boxes.join(hidden, [*group, *BOX_COLUMNS], "left_anti")
+    return left.join(hidden, [*group, *BOX_COLUMNS], "left_anti")
 
 
 def maximal_rects(rects: DataFrame, across_frames: bool = False, order: str | None = None,
@@ -277,19 +289,45 @@ def _islands(rects: DataFrame, group: list[str], low: str, high: str, name: str)
     return rects.withColumn("_s", a).join(numbered, [*group, "_s"]).drop("_s")
 
 
-def _add_box(kept: list[list], new: list, coalesce: bool, with_text: bool) -> None:
-    """Add one row ``[l, t, r, b, text, ord]`` to the boxes of one island."""
-    l, t, r, b = new[:4]
-    kept[:] = [k for k in kept if not (l <= k[0] and t <= k[1] and r >= k[2] and b >= k[3])]
-    if any(k[0] <= l and k[1] <= t and k[2] >= r and k[3] >= b for k in kept):
-        return
-    if coalesce:
-        for k in kept:
-            close = max(abs(x - y) for x, y in zip(k[:4], new[:4])) <= B.SIMILAR_EDGE
-            if close and (not with_text or B.texts_similar(k[4], new[4])):
-                k[0], k[1], k[2], k[3] = min(k[0], l), min(k[1], t), max(k[2], r), max(k[3], b)
-                return
-    kept.append(new)
+class _Island:
+    """Boxes kept so far while the rows of one island stream by in order."""
+
+    SCAN = 48  # from this many kept boxes on, one array comparison beats a loop
+
+    def __init__(self, coalesce: bool, with_text: bool):
+        self.coalesce, self.with_text = coalesce, with_text
+        self.kept: list[list] = []
+        self.edges: np.ndarray | None = None
+
+    def _matching(self, test) -> list[int]:
+        """Positions of kept boxes whose edges pass ``test``, which works on numbers and on arrays."""
+        if len(self.kept) < self.SCAN:
+            return [i for i, k in enumerate(self.kept) if test(*k[:4])]
+        if self.edges is None:
+            self.edges = np.array([k[:4] for k in self.kept], dtype=np.int64).T
+        return np.flatnonzero(test(*self.edges)).tolist()
+
+    def add(self, new: list) -> None:
+        """Add one row ``[l, t, r, b, text, ...]``."""
+        l, t, r, b = new[:4]
+        inside = self._matching(lambda L, T, R, D: (l <= L) & (t <= T) & (r >= R) & (b >= D))
+        if inside:
+            gone = set(inside)
+            self.kept = [k for i, k in enumerate(self.kept) if i not in gone]
+            self.edges = None
+        if self._matching(lambda L, T, R, D: (L <= l) & (T <= t) & (R >= r) & (D >= b)):
+            return
+        near = B.SIMILAR_EDGE
+        if self.coalesce:
+            for i in self._matching(lambda L, T, R, D: (abs(L - l) <= near) & (abs(T - t) <= near)
+                                    & (abs(R - r) <= near) & (abs(D - b) <= near)):
+                k = self.kept[i]
+                if not self.with_text or B.texts_similar(k[4], new[4]):
+                    k[:4] = [min(k[0], l), min(k[1], t), max(k[2], r), max(k[3], b)]
+                    self.edges = None
+                    return
+        self.kept.append(new)
+        self.edges = None
 
 
 def fold_rects(rects: DataFrame, order: str = "ord", coalesce: bool = False, across_frames: bool = False,
@@ -318,10 +356,10 @@ def fold_rects(rects: DataFrame, order: str = "ord", coalesce: bool = False, acr
     n_keys = len(keys)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, kept, done = None, [], []
+        current, boxes, done = None, _Island(coalesce, match_text), []
 
         def close() -> None:
-            done.extend([*current[:n_keys], *k] for k in kept)
+            done.extend([*current[:n_keys], *k] for k in boxes.kept)
 
         for batch in batches:
             rows = batch[[*islands, *BOX_COLUMNS, "ocrtext", order]].itertuples(index=False, name=None)
@@ -330,8 +368,8 @@ def fold_rects(rects: DataFrame, order: str = "ord", coalesce: bool = False, acr
                 if island != current:
                     if current is not None:
                         close()
-                    current, kept = island, []
-                _add_box(kept, list(row[n_keys + 2:]), coalesce, match_text)
+                    current, boxes = island, _Island(coalesce, match_text)
+                boxes.add(list(row[n_keys + 2:]))
             if done:
                 yield pd.DataFrame(done, columns=fields)
                 done = []

@@ -555,12 +555,15 @@ def _(t: Tables) -> DataFrame:
     return pii.pii_flag(texts, pii.entity_label_map(t.fx_entities), "flair")
 
 
+_SEGMENTS = """(select filename, frame, overlay, segment, concat(string_agg(ocrtext, ' ' order by ord), ' ') as ocrtext, count(*) as n_items
+  from (select *, (row_number() over (partition by filename, frame, overlay order by ord) - 1) // 1000 as segment from {fx_rects}
+    where box_left <> -1 and conf > cast(0.4 as double) and length(ocrtext) >= 2) group by 1, 2, 3, 4)"""
+
+
 @query("frame_text_summary", f"""
-with {safe_sql("(select concat(string_agg(ocrtext, ' ' order by ord), ' ') as ocrtext from {fx_rects} where box_left <> -1 and conf > cast(0.4 as double) and length(ocrtext) >= 2 group by filename, frame, overlay)")}
-select filename, frame, overlay, cast(0 as bigint) as segment, -1 as box_left, -1 as box_top, -1 as box_right, -1 as box_bottom, ocrtext, n_items,
-  case when ocrtext in (select t from safe_text) then 0 else 1 end as nerpii
-from (select filename, frame, overlay, concat(string_agg(ocrtext, ' ' order by ord), ' ') as ocrtext, count(*) as n_items from {{fx_rects}}
-  where box_left <> -1 and conf > cast(0.4 as double) and length(ocrtext) >= 2 group by 1, 2, 3)""")
+with {safe_sql(_SEGMENTS)}
+select filename, frame, overlay, segment, -1 as box_left, -1 as box_top, -1 as box_right, -1 as box_bottom, ocrtext, n_items,
+  case when ocrtext in (select t from safe_text) then 0 else 1 end as nerpii from {_SEGMENTS}""")
 def _(t: Tables) -> DataFrame:
     return pii.frame_text_summary(rects.confidence_filter(rects.rects_valid(t.fx_rects)))
 
