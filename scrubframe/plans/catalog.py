@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from scrubframe.plans import queries_boxes, queries_frames, queries_review, queries_tags  # noqa: F401
+    from scrubframe.plans import queries_boxes, queries_frames, queries_review, queries_storage, queries_tags  # noqa: F401
 
 
 def run(name: str, spark: SparkSession, folder: str) -> DataFrame:

@@ -456,21 +456,23 @@ def _(t: Tables) -> DataFrame:
     return rules.device_rect_sets(t.fx_rects, t.fx_review, t.fx_tags)
 
 
-_KEY = f"md5(concat_ws('|', {_DEVICE})) as rule_key"
+# Boxes of a device with their rule: devices with very many boxes are cut by a hash of the box.
+RULES = f"""(select *, md5(concat_ws('|', {_DEVICE})) as rule_key, case when count(*) over (partition by {_DEVICE}) > 4096
+  then 1 + cast(concat('0x', substr(md5(concat_ws(',', {BOX})), 1, 2)) as int) else 0 end as chunk from {_SETS})"""
 
 
 @query("snk_rules", f"""
-with s as (select *, {_KEY} from {_SETS}), d as (select distinct rule_key, {_DEVICE} from s)
-select rule_key, 0 as part, concat('LABEL device ', rule_key) as line from d
-union all select rule_key, 1, concat('  contains Modality ', modality) from d
-union all select rule_key, 2, concat('  + contains Manufacturer ', manufacturer) from d where manufacturer <> ''
-union all select rule_key, 3, concat('  + contains ManufacturerModelName ', model) from d where model <> ''
-union all select rule_key, 4, concat('  + contains SecondaryCaptureDeviceManufacturer ', sc_manufacturer) from d where sc_manufacturer <> ''
-union all select rule_key, 5, concat('  + contains SecondaryCaptureDeviceManufacturerModelName ', sc_model) from d where sc_model <> ''
-union all select rule_key, 6, concat('  + contains SoftwareVersions ', software) from d where software <> ''
-union all select rule_key, 7, concat('  + equals Rows ', n_rows) from d
-union all select rule_key, 8, concat('  + equals Columns ', n_cols) from d
-union all select rule_key, 9, concat('  coordinates ', concat_ws(',', {BOX})) from s""")
+with s as (select * from {RULES}), d as (select distinct rule_key, chunk, {_DEVICE} from s)
+select rule_key, chunk, 0 as part, concat('LABEL device ', rule_key, case when chunk > 0 then concat(' part ', chunk) else '' end) as line from d
+union all select rule_key, chunk, 1, concat('  contains Modality ', modality) from d
+union all select rule_key, chunk, 2, concat('  + contains Manufacturer ', manufacturer) from d where manufacturer <> ''
+union all select rule_key, chunk, 3, concat('  + contains ManufacturerModelName ', model) from d where model <> ''
+union all select rule_key, chunk, 4, concat('  + contains SecondaryCaptureDeviceManufacturer ', sc_manufacturer) from d where sc_manufacturer <> ''
+union all select rule_key, chunk, 5, concat('  + contains SecondaryCaptureDeviceManufacturerModelName ', sc_model) from d where sc_model <> ''
+union all select rule_key, chunk, 6, concat('  + contains SoftwareVersions ', software) from d where software <> ''
+union all select rule_key, chunk, 7, concat('  + equals Rows ', n_rows) from d
+union all select rule_key, chunk, 8, concat('  + equals Columns ', n_cols) from d
+union all select rule_key, chunk, 9, concat('  coordinates ', concat_ws(',', {BOX})) from s""")
 def _(t: Tables) -> DataFrame:
     return rules.rule_lines(rules.device_rect_sets(t.fx_rects, t.fx_review, t.fx_tags))
 

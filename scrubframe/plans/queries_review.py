@@ -49,10 +49,10 @@ def _(t: Tables) -> DataFrame:
 
 @query("upsert_review", """
 select filename, arg_max(mark, seq) as mark, arg_max(comment, seq) filter (where comment <> '') as comment,
-  cast(epoch_us(arg_max(last_modified, seq)) as bigint) as changed from {fx_review_events} group by 1""")
+  strftime(arg_max(last_modified, seq), '%Y-%m-%d %H:%M:%S.%f') as changed from {fx_review_events} group by 1""")
 def _(t: Tables) -> DataFrame:
     rows = review.upsert_review(t.fx_review_events)
-    changed = F.unix_micros(F.col("last_modified").cast("timestamp"))
+    changed = F.date_format("last_modified", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return rows.select("filename", "mark", "comment", changed.alias("changed"))
 
 
@@ -82,11 +82,11 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("relabel", """
-select PK, arg_max(Label, seq) filter (where Label <> '') as Label, epoch_us(arg_max(checked_at, seq)) as checked from {fx_labels}
+select PK, arg_max(Label, seq) filter (where Label <> '') as Label, strftime(arg_max(checked_at, seq), '%Y-%m-%d %H:%M:%S.%f') as checked from {fx_labels}
 group by 1 having arg_min(Label, seq) filter (where Label <> '') in ('c', 's', 'e')""")
 def _(t: Tables) -> DataFrame:
     rows = review.relabel(t.fx_labels, ["c", "s", "e"])
-    return rows.select("PK", "Label", F.unix_micros(F.col("Check_datetime").cast("timestamp")).alias("checked"))
+    return rows.select("PK", "Label", F.date_format("Check_datetime", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("checked"))
 
 
 @query("order_by_last_modified", "select filename, last_modified from {fx_review}")

@@ -72,6 +72,20 @@ def test_rule_text_round_trip(spark, tmp_path):
                               ("contains", "SoftwareVersions", "v1"), ("equals", "Rows", "5"), ("equals", "Columns", "6"))
 
 
+def test_large_rules_are_cut(spark):
+    rows = [("CT", 5, 6, "Mk", "Mod", "", "", "v1", i, 2, 300 + i, 4) for i in range(40)]
+    rows += [("MR", 5, 6, "Mk", "", "", "", "", 1, 2, 3, 4)]
+    sets = spark.createDataFrame(rows, "modality string, n_rows int, n_cols int, manufacturer string, model string, sc_manufacturer string,"
+                                       "sc_model string, software string, box_left int, box_top int, box_right int, box_bottom int")
+    lines = rules.rule_lines(sets, most=10).collect()
+    assert sum(x.line.startswith("  coordinates") for x in lines) == 41
+    chunks = {(x.rule_key, x.chunk) for x in lines}
+    assert len({k for k, _ in chunks}) == 2 and len(chunks) > 3
+    for chunk in chunks:
+        mine = [x.line for x in sorted(lines) if (x.rule_key, x.chunk) == chunk]
+        assert mine[0].startswith("LABEL device") and mine[1].startswith("  contains Modality") and "coordinates" in mine[-1]
+
+
 def suggestion_tables(spark):
     keys = ("CT", "ORIGINAL/PRIMARY", 1024, 1024, "")
     review_rows = spark.createDataFrame([("file3", True, *keys), ("file4", False, *keys), ("file5", False, "MR", *keys[1:])],
