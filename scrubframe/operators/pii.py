@@ -48,8 +48,20 @@ def pii_flag(texts: DataFrame, entities: DataFrame, engine: str | None, key: str
     return texts.join(found, key, "left").withColumn("is_sensitive", flag).drop("_hit")
 
 
-def frame_text_summary(items: DataFrame, order: str = "ord", segment: int = 1000) -> DataFrame:
-    """Texts of each frame joined by blanks, with the allowlist's decision on the joined text.
+def sensitivity(text: Column, engine: str = "allowlist") -> Column:
+    """Decision of a registered detector on each text: -1 for an empty text, else 0 or 1.
+
+    The allowlist is a plain projection; other detectors run in Arrow batches.
+    """
+    if engine == "allowlist":
+        return F.when(text == "", -1).when(is_safe_text(text), 0).otherwise(1)
+    found = F.exists(detector_plugin(engine)(text), lambda e: e["label"].isin(*SENSITIVE))
+    return F.when(text == "", -1).when(found, 1).otherwise(0)
+
+
+def frame_text_summary(items: DataFrame, order: str = "ord", segment: int = 1000,
+                       engine: str = "allowlist") -> DataFrame:
+    """Texts of each frame joined by blanks, with the detector's decision on the joined text.
 
     A frame with more than ``segment`` items gives several rows, in order, so that no row or
     task holds an unbounded text; the whole text is their concatenation. Only such frames are
@@ -65,7 +77,7 @@ def frame_text_summary(items: DataFrame, order: str = "ord", segment: int = 1000
     joined = F.array_join(F.transform(ordered, lambda s: F.concat(s["ocrtext"], F.lit(" "))), "")
     rows = (first.groupBy(*FRAME_KEYS, "segment")
             .agg(joined.alias("ocrtext"), F.count(F.lit(1)).alias("n_items")))
-    flag = F.when(F.col("ocrtext") == "", -1).when(is_safe_text(F.col("ocrtext")), 0).otherwise(1)
+    flag = sensitivity(F.col("ocrtext"), engine)
     null_box = [F.lit(-1).alias(c) for c in ("box_left", "box_top", "box_right", "box_bottom")]
     return rows.select(*FRAME_KEYS, "segment", *null_box, "ocrtext", "n_items", flag.alias("nerpii"))
 

@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from scrubframe.functions.tags import imagetype_parts
 
 
+# Columns of the flat tag table that are profiled, and those that hold numbers as text.
+PROFILE_COLUMNS = [
+    "BurnedInAnnotation", "RecognizableVisualFeatures", "Manufacturer", "ManufacturerModelName", "ModelName",
+    "SoftwareVersions", "CodeMeaning", "CommentsOnRadiationDose", "ImageType2", "ImageType",
+    "ImplementationVersionName", "SeriesDescription", "WindowWidth", "Rows", "Columns", "BitsStored", "BitsAllocated",
+    "NumberOfFrames", "OverlayRows", "OverlayColumns", "OverlayType", "NumberOfFramesInOverlay",
+    "OverlayDescription", "OverlayBitsAllocated", "OverlayBitPosition",
+]
+NUMERIC_COLUMNS = ["Rows", "Columns", "NumberOfFrames", "OverlayRows", "OverlayColumns", "NumberOfFramesInOverlay"]
+
+
 def _long(df: DataFrame, cols: list[str]) -> DataFrame:
     texts = df.select(*(F.col(c).cast("string").alias(c) for c in cols))
     return texts.unpivot([], cols, "column", "value")

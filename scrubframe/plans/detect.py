@@ -15,13 +15,14 @@ def items_to_rects(items: DataFrame, entities: DataFrame | None = None, engine:
     """Stored boxes from detected items: certain items, flagged for personal data, without huge fonts
     and, when image regions are given, without boxes inside them.
 
-    With the allowlist the flag is a projection; other engines bring their entities, keyed by
-    ``text_id``.
+    The allowlist and registered detectors flag row by row; entities found elsewhere come as a
+    table keyed by ``text_id``. Without an engine nothing is checked.
     """
     kept = rects.confidence_filter(items)
-    if engine == "allowlist":
-        safe = allowlist.is_safe_text(F.col("ocrtext"))
-        flagged = kept.withColumn("nerpii", F.when(F.col("ocrtext") == "", -1).when(safe, 0).otherwise(1))
+    if engine is None:
+        flagged = kept.withColumn("nerpii", F.lit(-1))
+    elif entities is None:
+        flagged = kept.withColumn("nerpii", pii.sensitivity(F.col("ocrtext"), engine))
     else:
         named = kept.withColumn("text", F.col("ocrtext"))
         flagged = pii.pii_flag(named, entities, engine).withColumn("nerpii", F.col("is_sensitive")).drop("text", "is_sensitive")

@@ -166,6 +166,21 @@ def _(t: Tables) -> DataFrame:
     return profile.profile_distinct_counts(t.fx_tags, PROFILED)
 
 
+@query("profile_flat_table", f"""
+select 'Manufacturer' as "column", count(distinct manufacturer) as n_distinct from {{fx_tags}}
+union all select 'ManufacturerModelName', count(distinct model) from {{fx_tags}}
+union all select 'ModelName', count(distinct m) from (select {MODEL} as m from {{fx_tags}})
+union all select 'ImageType2', count(distinct case when {SUMMARY} <> '' then {SUMMARY} when {SECONDARY} then 'DERIVED/SECONDARY' else '' end) from {{fx_tags}}
+union all select c, count(distinct v) from (select unnest(['BurnedInAnnotation', 'ImageType', 'SoftwareVersions', 'Rows', 'Columns', 'NumberOfFrames', 'OverlayType']) as c,
+  unnest([burned_in, image_type, software, n_rows::varchar, n_cols::varchar, n_frames::varchar, overlay_type]) as v from {{fx_tags}}) group by c
+union all select unnest(['RecognizableVisualFeatures', 'CodeMeaning', 'CommentsOnRadiationDose', 'ImplementationVersionName', 'SeriesDescription',
+  'WindowWidth', 'BitsStored', 'BitsAllocated', 'OverlayRows', 'OverlayColumns', 'NumberOfFramesInOverlay', 'OverlayDescription',
+  'OverlayBitsAllocated', 'OverlayBitPosition']), 1""")
+def _(t: Tables) -> DataFrame:
+    flat = src.flatten_documents(tag_documents(t))
+    return profile.profile_distinct_counts(flat, profile.PROFILE_COLUMNS)
+
+
 @query("count_per_column", f'select "column", count("value") as n from ({LONG}) group by 1')
 def _(t: Tables) -> DataFrame:
     return profile.count_per_column(t.fx_tags, PROFILED)

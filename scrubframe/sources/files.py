@@ -19,12 +19,16 @@ def list_files(spark: SparkSession, roots: list[str], skip: str = NOT_IMAGES) ->
 
 
 def resolve_manifest(manifest: DataFrame, listing: DataFrame, prefixes: list[str]) -> DataFrame:
-    """Existing paths named by a manifest; relative names are tried under every prefix."""
+    """Existing paths named by a manifest; relative names are tried under every prefix.
+
+    Object URLs are kept as they are: they are not part of a file listing.
+    """
     names = [F.col(c) for c in ("filename", "DicomFilePath") if c in manifest.columns]
     name = F.coalesce(*names)
+    remote = manifest.where(name.contains("s3://")).select(name.alias("path"))
     under = F.array(*(F.concat(F.lit(p.rstrip("/") + "/"), name) for p in prefixes))
-    paths = manifest.select(F.explode(F.when(name.startswith("/"), F.array(name)).otherwise(under)).alias("path"))
-    return paths.join(listing.select("path"), "path", "left_semi")
+    paths = manifest.where(~name.contains("s3://")).select(F.explode(F.when(name.startswith("/"), F.array(name)).otherwise(under)).alias("path"))
+    return paths.join(listing.select("path"), "path", "left_semi").unionByName(remote)
 
 
 def find_path(tags: DataFrame, name: str, order: tuple[str, ...] = ("DX", "CR")) -> DataFrame:

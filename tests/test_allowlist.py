@@ -87,6 +87,13 @@ def test_detectors(spark):
     assert [len(r.e) for r in df.select(shout(F.col("t")).alias("e")).collect()] == [1, 0, 0]
 
 
+def test_detector_decisions(spark):
+    pii.detector_plugin("capitals", lambda t: [(w, "PER") for w in t.split() if w.isupper()])
+    df = spark.createDataFrame([("ERECT",), ("jane",), ("",)], "t string")
+    for engine, want in (("allowlist", [0, 1, -1]), ("capitals", [1, 0, -1])):
+        assert [r.s for r in df.select(pii.sensitivity(F.col("t"), engine).alias("s")).collect()] == want
+
+
 def test_frame_text_segments(spark):
     items = spark.createDataFrame([("f", 0, -1, i, f"w{i}") for i in range(25)] + [("g", 0, -1, 1, "ERECT")],
                                   "filename string, frame int, overlay int, ord int, ocrtext string")

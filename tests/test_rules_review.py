@@ -157,9 +157,9 @@ def test_file_lists(spark, tmp_path):
     found = [r.path.rsplit("/", 1)[1] for r in listing.collect()]
     assert sorted(found) == ["a.dcm", "b"]
     paths = listing.select(F.regexp_replace("path", "^file:/*", "/").alias("path"))
-    manifest = spark.createDataFrame([("a.dcm",), ("b",), ("nope",), (str(tmp_path / "a.dcm"),)], "filename string")
+    manifest = spark.createDataFrame([("a.dcm",), ("b",), ("nope",), ("s3://b/k",), (str(tmp_path / "a.dcm"),)], "filename string")
     got = files.resolve_manifest(manifest, paths, [str(tmp_path), str(tmp_path / "sub") + "/"]).collect()
-    assert sorted(r.path for r in got) == sorted([str(tmp_path / "a.dcm"), str(tmp_path / "sub/b"), str(tmp_path / "a.dcm")])
+    assert sorted(r.path for r in got) == sorted([str(tmp_path / "a.dcm"), str(tmp_path / "sub/b"), str(tmp_path / "a.dcm"), "s3://b/k"])
     csv = spark.createDataFrame([("s1", "r1"), ("s1", "r2"), ("s2", "r3")], "study string, series string")
     prefix = lambda df: sorted(r.prefix for r in df.collect())
     assert prefix(files.series_manifest(csv)) == ["s1/r1/", "s1/r2/", "s2/r3/"]
