@@ -54,6 +54,10 @@ def _holds(predicate: tuple[str, str, str], columns: dict[str, str]) -> Column:
     raise ValueError(f"unknown predicate {op}")
 
 
+def _known(tags: DataFrame, columns: dict[str, str]) -> dict[str, str]:
+    return {tag: c for tag, c in columns.items() if c in tags.columns}
+
+
 def _rule_hits(rules: Sequence[Rule], columns: dict[str, str]) -> Column:
     """Array of the numbers (from 1) of the rules an image matches."""
     hits = [F.when(reduce(lambda a, b: a & b, (_holds(p, columns) for p in rule.predicates), F.lit(True)), F.lit(i))
@@ -64,9 +68,10 @@ def _rule_hits(rules: Sequence[Rule], columns: dict[str, str]) -> Column:
 def match_rules(tags: DataFrame, rules: Sequence[Rule], columns: dict[str, str]) -> DataFrame:
     """One row per image and matching rule: (filename, rule_id, label).
 
-    ``columns`` maps tag names to columns. A rule file is configuration, so its rules become
+    ``columns`` maps tag names to columns; a tag without a column counts as absent. A rule file is configuration, so its rules become
     one projection over the tag scan: no join, no shuffle, and each pattern compiles once.
     """
+    columns = _known(tags, columns)
     labels = F.array(*(F.lit(r.label) for r in rules))
     hits = tags.select("filename", F.explode(_rule_hits(rules, columns)).alias("rule_id"))
     return hits.withColumn("label", F.get(labels, F.col("rule_id") - 1))
@@ -81,11 +86,15 @@ def _fixed_box(coords: str) -> Column:
 
 def rule_boxes(tags: DataFrame, rules: Sequence[Rule], columns: dict[str, str]) -> DataFrame:
     """Matching images with array columns ``keep`` and ``redact``, in rule order."""
+    columns = _known(tags, columns)
+
     def boxes_of(rule: Rule, kind: str) -> Column:
         parts = []
         for k, coords in rule.boxes:
             if k != kind or (kind == "redact" and coords == "all"):
                 continue
+            if coords.startswith("from:") and coords[5:] not in columns:
+                continue
             if coords.startswith("from:"):
                 parts.append(F.transform(F.col(columns[coords[5:]]), lambda r: F.struct(
                     r["x0"].cast("int").alias("box_left"), r["y0"].cast("int").alias("box_top"),

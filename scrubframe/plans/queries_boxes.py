@@ -320,14 +320,16 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("rect_complement", """
-with boxes as (select filename, n_rows, n_cols, box_left as l, box_top as t, box_right as r, box_bottom as b from {fx_region_rows} where region_no = 1)
+with boxes as (select concat(filename, '/', region_no) as filename, n_rows, n_cols, box_left as l, box_top as t, box_right as r, box_bottom as b
+  from {fx_region_rows})
 select filename, box_left, box_top, box_right, box_bottom from (
   select filename, 0 as box_left, 0 as box_top, n_cols - 1 as box_right, t as box_bottom from boxes
   union all select filename, 0, t, l, b from boxes union all select filename, r, t, n_cols - 1, b from boxes
   union all select filename, 0, b, n_cols - 1, n_rows - 1 from boxes)""")
 def _(t: Tables) -> DataFrame:
-    one = t.fx_region_rows.where("region_no = 1").withColumn("keep", F.array(F.struct(*BOX_COLUMNS)))
-    return rects.rect_complement(one)
+    """Each region of each image on its own; ``region_complement`` takes the regions of an image together."""
+    each = t.fx_region_rows.withColumn("filename", F.concat_ws("/", "filename", "region_no"))
+    return rects.rect_complement(each.withColumn("keep", F.array(F.struct(*BOX_COLUMNS))))
 
 
 _OUTSIDE = """with k as (select a.filename, a.n_rows as h, a.n_cols as w, a.box_left as l1, a.box_top as t1, a.box_right as r1, a.box_bottom as b1,

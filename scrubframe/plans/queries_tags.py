@@ -409,13 +409,13 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("resolve_manifest", """
-select concat(p, sop, '.dcm') as path from {fx_tags}, (values ('/data/a/'), ('/data/b/')) v(p)
-where (p = '/data/a/' and image_no % 3 = 0) or (p = '/data/b/' and image_no % 5 = 0)""")
+select concat(case when modality in ('CT', 'MR', 'XA') then '/data/a/' else '/data/b/' end, sop, '.dcm') as path from {fx_tags}""")
 def _(t: Tables) -> DataFrame:
-    manifest = t.fx_tags.select(F.concat("sop", F.lit(".dcm")).alias("DicomFilePath"))
+    """Every file lies under one of two roots and its manifest entry is tried under both."""
     name = F.concat("sop", F.lit(".dcm"))
-    listing = (t.fx_tags.where("image_no % 3 = 0").select(F.concat(F.lit("/data/a/"), name).alias("path"))
-               .union(t.fx_tags.where("image_no % 5 = 0").select(F.concat(F.lit("/data/b/"), name))))
+    root = F.when(F.col("modality").isin("CT", "MR", "XA"), "/data/a/").otherwise("/data/b/")
+    manifest = t.fx_tags.select(name.alias("DicomFilePath"))
+    listing = t.fx_tags.select(F.concat(root, name).alias("path"))
     return files.resolve_manifest(manifest, listing, ["/data/a", "/data/b/"])
 
 
@@ -433,9 +433,9 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("series_lookup", """
-select filename, study, series from {fx_tags} where series in (select series from {fx_tags} where mod(device_no, 9) = 0)""")
+select filename, study, series from {fx_tags} where series in (select t.series from {fx_tags} t join {fx_review} r on t.filename = r.filename where r.mark)""")
 def _(t: Tables) -> DataFrame:
-    wanted = t.fx_tags.where("device_no % 9 = 0").select("series")
+    wanted = t.fx_tags.join(t.fx_review.where("mark").select("filename"), "filename", "left_semi").select("series")
     return files.series_lookup(t.fx_tags.select("filename", "study", "series"), wanted)
 
 
@@ -512,8 +512,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("drop_repeated_headers", "select key from {fx_keys}")
 def _(t: Tables) -> DataFrame:
-    batches = t.fx_keys.union(t.fx_keys.where("key like '%/7/%'").select(F.lit("key")))
-    return ocr.drop_repeated_headers(batches, "key")
+    headers = t.fx_keys.groupBy(F.substring_index("key", "/", 1).alias("batch")).agg(F.lit("key").alias("key")).select("key")
+    return ocr.drop_repeated_headers(t.fx_keys.unionByName(headers), "key")
 
 
 # ---------------------------------------------------------------- classifier

@@ -44,6 +44,24 @@ def test_entry(spark):
     assert df.columns == ["filename", "n_boxes", "area"] and df.count() > 0
 
 
+@pytest.mark.parametrize("name", ["group_head_n", "combo_sample_files", "combo_unique_n", "fetch_sampled_rows"])
+def test_ranked_rows_are_limited_before_the_shuffle(spark, name):
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.count("Partial") >= 1
+
+
+def test_rules_and_allowlist_need_no_shuffle(spark):
+    from scrubframe.operators import allowlist, rules
+    from scrubframe.plans.fixtures import Tables
+    from scrubframe.plans.queries_boxes import RECIPE, RULE_COLUMNS
+    t = Tables(spark, SMALL)
+    tags = t.fx_regions
+    for df in (rules.match_rules(tags, RECIPE, RULE_COLUMNS), allowlist.apply_allowlist_before_redaction(t.fx_rects),
+               allowlist.allowlist_match(t.fx_texts)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_filters_reach_the_scan(spark):
     from scrubframe.operators import rects
     df = spark.read.parquet(f"{SMALL}/lineitem.parquet").selectExpr(
