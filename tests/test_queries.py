@@ -4,11 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from scrubframe.plans import catalog
 from scrubframe.plans.fixtures import TABLES
 from tests.conftest import SMALL
 from tools.check_oracle import compare
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 # Queries whose text or pixel step needs Python; all others must stay in the JVM.
 PYTHON_STEPS = {"rect_similar", "fold_rects_coalesce", "detector_plugin", "pseudonymise_uid_decimal", "redact_frames", "redact_all",
                 "redact_highbit_overlay", "redact_overlay_frame", "redaction_report", "redact_frames_pixels"}
