@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scrubframe.llm.chat import chat_format, read_back
 from scrubframe.llm.common import table
 from scrubframe.llm.exact import exact_dedup
+from scrubframe.llm.extract import extract, train
 from scrubframe.llm.language import held_out, identify, learn
 from scrubframe.llm.mix import mixed
 from scrubframe.llm.pii import BASE_KINDS, joined, personal_data
@@ -128,3 +129,8 @@ select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (part
        doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
 from docs
 """
+
+
+@query
+def op5_extract_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages"), train(spark))
