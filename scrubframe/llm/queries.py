@@ -14,6 +14,7 @@ from scrubframe.llm.extract import extract, train
 from scrubframe.llm.language import held_out, identify, learn
 from scrubframe.llm.mix import mixed
 from scrubframe.llm.pii import BASE_KINDS, joined, personal_data
+from scrubframe.llm.warc import archived
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -134,3 +135,18 @@ from docs
 @query
 def op5_extract_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages"), train(spark))
+
+
+@query
+def op4_warc_index(spark: SparkSession, folder: str) -> DataFrame:
+    return archived(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_SQL["op4_warc_index"] = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+q as (select *, strlen(html) as bytes, max(page_id) over (partition by html) as top from p)
+select page_id, bytes as payload_bytes, sha1(html) as payload_digest,
+       case when bytes >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
+       case when bytes >= 1000 and page_id <> top then top end as refers_to
+from q
+"""
