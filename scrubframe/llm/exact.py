@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from scrubframe.llm.common import ascii_lower, join_counted, shared_folder, stored
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, changes rather than whole copies in the shared folder, and no space set aside in advance per partition.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 PREFILTER_ROWS = 2_000_000
 BATCH_BYTES = 256 << 30
 
@@ -54,14 +59,16 @@ def digest_state(spark: SparkSession, log: str, root: str, batch: int = BATCH_BY
 
     The state lives in RocksDB on the executors' disks, with its changes in the shared folder; it is read back from there.
     """
-    kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    kept = {k: spark.conf.get(k, None) for k in STATE}
     try:
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
         state = _read_stream(spark, log, batch).groupBy("digest").agg(
             F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "locator")).alias("stays"))
         _finish(state.writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{root}/state"))
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     found = spark.read.format("statestore").load(f"{root}/state")
     value = found.schema["value"].dataType.fieldNames()
     return found.select(F.col("key")[found.schema["key"].dataType.fieldNames()[0]].alias("digest"),
