@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scrubframe.llm.chat import chat_format, read_back
 from scrubframe.llm.common import table
+from scrubframe.llm.contamination import contaminated
 from scrubframe.llm.exact import exact_dedup
 from scrubframe.llm.extract import extract, train
 from scrubframe.llm.language import held_out, identify, learn
@@ -150,3 +151,34 @@ select page_id, bytes as payload_bytes, sha1(html) as payload_digest,
        case when bytes >= 1000 and page_id <> top then top end as refers_to
 from q
 """
+
+
+@query
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = contaminated(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"), ["doc_id"])
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+_SQL["op8_decontaminate"] = r"""
+with lowered as (
+  select 'd' as kind, doc_id as id, row_number() over () as rid, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+  union all
+  select 'b', item_id, row_number() over (), translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark),
+split as (select kind, id, rid, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from lowered),
+sized as (select *, least(10, len(w)) as size from split where kind = 'b' and len(w) > 0),
+windows as (
+  select distinct id, size, list_slice(w, k, k + size - 1) as phrase
+  from (select *, unnest(generate_series(1, len(w) - size + 1)) as k from sized)),
+places as (select id, rid, w, unnest(generate_series(1, len(w))) as k from split where kind = 'd' and len(w) > 0),
+lengths as (select distinct size from windows),
+candidates as (
+  select p.rid, p.k, l.size, list_slice(p.w, p.k, p.k + l.size - 1) as phrase from places p, lengths l where p.k + l.size - 1 <= len(p.w)),
+hits as (select c.rid, c.k, c.size, w.id as item from candidates c join windows w on c.size = w.size and c.phrase = w.phrase),
+words as (select rid, count(distinct k) as n_hit from (select rid, unnest(generate_series(k, k + size - 1)) as k from hits) group by rid),
+items as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct rid, cast(item as varchar) as item from hits) group by rid)
+select s.id as doc_id, len(s.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from split s left join words using (rid) left join items using (rid) where s.kind = 'd'
+"""
