@@ -12,6 +12,7 @@ from scrubframe.llm.common import table
 from scrubframe.llm.contamination import contaminated
 from scrubframe.llm.exact import exact_dedup
 from scrubframe.llm.extract import extract, train
+from scrubframe.llm.jaccard import near_duplicates
 from scrubframe.llm.language import held_out, identify, learn
 from scrubframe.llm.mix import mixed
 from scrubframe.llm.pii import BASE_KINDS, joined, personal_data
@@ -182,3 +183,30 @@ select s.id as doc_id, len(s.w)::bigint as n_words, coalesce(n_hit, 0)::bigint a
        sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from split s left join words using (rid) left join items using (rid) where s.kind = 'd'
 """
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+_SQL["op10_jaccard_join"] = r"""
+with recursive split as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+shingled as (
+  select doc_id, list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda k: array_to_string(list_slice(w, k, k + 4), ' '))) as s
+  from split where len(w) > 0),
+sets as (select s, min(doc_id) as id, len(s) as n from (select doc_id, list_sort(s) as s from shingled) group by s),
+elements as (select id, n, unnest(s) as e from sets),
+counted as (
+  select x.id as a, y.id as b, count(*) as common, any_value(x.n) as n, any_value(y.n) as m
+  from elements x join elements y on x.e = y.e and x.id < y.id and 100 * x.n >= 80 * y.n and 100 * y.n >= 80 * x.n group by x.id, y.id),
+links as (select a, b from counted where 100 * common >= 80 * (n + m - common)),
+edges as (select a, b from links union select b, a from links),
+reach as (select id as a, id as b from sets union select r.a, e.b from reach r join edges e on r.b = e.a),
+classes as (select a, min(b) as component_id from reach group by a)
+select d.doc_id, coalesce(len(d.s), 0)::bigint as n_shingles, coalesce(c.component_id, d.doc_id) as component_id
+from (select split.doc_id, list_sort(shingled.s) as s from split left join shingled using (doc_id)) d
+left join sets on d.s = sets.s left join classes c on c.a = sets.id
+"""
