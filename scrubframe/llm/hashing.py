@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 BUCKETS, CHUNKS = 1 << 20, 64
 _P = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)

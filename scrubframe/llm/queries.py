@@ -14,6 +14,7 @@ from scrubframe.llm.exact import exact_dedup
 from scrubframe.llm.extract import extract, train
 from scrubframe.llm.jaccard import near_duplicates
 from scrubframe.llm.language import held_out, identify, learn
+from scrubframe.llm.lines import deduplicated
 from scrubframe.llm.mix import mixed
 from scrubframe.llm.pii import BASE_KINDS, joined, personal_data
 from scrubframe.llm.warc import archived
@@ -210,3 +211,33 @@ select d.doc_id, coalesce(len(d.s), 0)::bigint as n_shingles, coalesce(c.compone
 from (select split.doc_id, list_sort(shingled.s) as s from split left join shingled using (doc_id)) d
 left join sets on d.s = sets.s left join classes c on c.a = sets.id
 """
+
+
+@query
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = deduplicated(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
+                       F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+_SQL["op1_line_dedup"] = r"""
+with lines as (select doc_id, text, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as ln from documents),
+tokens as (
+  select doc_id, ln, line, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) as s
+  from lines),
+sets as (select s, len(s) as n, min(struct_pack(d := doc_id, l := ln)) as first, row_number() over () as id from tokens where len(s) >= 3 group by s),
+elements as (select id, n, first, unnest(s) as e from sets),
+counted as (
+  select x.id as a, y.id as b, count(*) as common, any_value(x.n) as n, any_value(y.n) as m
+  from elements x join elements y on x.e = y.e and x.first < y.first and 100 * x.n >= 80 * y.n and 100 * y.n >= 80 * x.n group by x.id, y.id),
+gone as (select distinct b as id from counted where 100 * common >= 80 * (n + m - common)),
+marked as (
+  select t.doc_id, t.ln, t.line, s.id is not null and (g.id is not null or s.first <> struct_pack(d := t.doc_id, l := t.ln)) as removed
+  from tokens t left join sets s on t.s = s.s left join gone g on g.id = s.id)
+select d.doc_id, case when d.text is null then 0 else len(string_split(d.text, chr(10))) end::bigint as n_lines,
+       coalesce(m.n_removed, 0)::bigint as n_removed, coalesce(m.removed, '') as removed, sha256(coalesce(m.kept, '')) as text_sha256
+from documents d left join (
+  select doc_id, count(*) filter (where removed) as n_removed, string_agg(cast(ln as varchar), ',' order by ln) filter (where removed) as removed,
+         string_agg(line, chr(10) order by ln) filter (where not removed) as kept
+  from marked group by doc_id) m using (doc_id)
+"""
