@@ -11,6 +11,8 @@ from scrubframe.session import checkpoint_root
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HEAVY = 512
+FILTER_BITS = 1 << 25
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,10 +25,36 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later steps survive lost executors and do not recompute it."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back: later steps survive lost executors and do not recompute it.
+
+    Nothing reads the shuffles of the write again, so Spark is told to remove them when it ends.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def maybe_in(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``_maybe``: false only for rows whose keys are not among ``wanted``.
+
+    The hashes of the wanted keys set bits of a map of fixed size (at most 1024 rows of 4 kB), which is broadcast; so rows
+    without a partner need not move for a join. It never decides alone: an exact join follows.
+    """
+    def place(frame: DataFrame) -> Column:
+        return F.pmod(F.xxhash64(*[frame[k] for k in keys]), F.lit(FILTER_BITS))
+
+    marks = wanted.select(place(wanted).alias("_h")).groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
+    at = df.withColumn("_h", place(df)).withColumn("_bucket", F.bitmap_bucket_number("_h")).withColumn("_at", F.bitmap_bit_position("_h"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(F.col("_at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("shiftright(_byte, cast(_at % 8 as int)) & 1") == 1
+    found = at.join(F.broadcast(stored(marks, "marks")), "_bucket", "left").withColumn("_byte", byte)
+    return found.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_h", "_bucket", "_at", "_bits", "_byte")
 
 
 def ascii_lower(text: Column) -> Column:

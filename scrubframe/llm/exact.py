@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubframe.llm.common import ascii_lower, join_counted, shared_folder, stored
+from scrubframe.llm.common import ascii_lower, join_counted, maybe_in, shared_folder, stored
 
 #: State on disk, changes rather than whole copies in the shared folder, and no space set aside in advance per partition.
 STATE = {
@@ -15,7 +15,6 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-PREFILTER_ROWS = 2_000_000
 BATCH_BYTES = 256 << 30
 
 
@@ -75,27 +74,23 @@ def digest_state(spark: SparkSession, log: str, root: str, batch: int = BATCH_BY
                         F.col("value")[value[0]].alias("n"), F.col("value")[value[1]].alias("stays"))
 
 
-def check_bytes(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column] = sha256, prefilter: int = PREFILTER_ROWS) -> DataFrame:
+def check_bytes(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """Compare the full bytes of all rows whose digest was hit more than once.
 
     Returns digest, text, n and stays for the digests that cover several texts: normally none. Rows of one digest and one
-    text are combined in each task before they move, so a group of copies of any size costs a row per task. A list of up
-    to ``prefilter`` repeated digests is broadcast as 8-byte hashes to keep other rows from moving; a longer one is joined.
+    text are combined in each task before they move, so a group of copies of any size costs a row per task. A bit map of
+    fixed size keeps rows of other digests from moving.
     """
-    repeated = state.where("n > 1").select("digest")
-    rows = located(docs).withColumn("digest", digest(F.col("text")))
-    if repeated.limit(prefilter + 1).count() <= prefilter:
-        short = repeated.select(F.xxhash64("digest").alias("short")).distinct()
-        hits = rows.withColumn("short", F.xxhash64("digest")).join(F.broadcast(short), "short", "left_semi").drop("short")
-    else:
-        hits = join_counted(rows, state.where("n > 1").select("digest", "n"), "digest", "n").where("n is not null").drop("n")
-    texts = hits.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "locator")).alias("stays"))
+    repeated = state.where("n > 1").select("digest", "n")
+    rows = maybe_in(located(docs).withColumn("digest", digest(F.col("text"))), repeated, ["digest"]).where("_maybe").drop("_maybe")
+    hits = rows.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "locator")).alias("stays"))
+    texts = hits.join(repeated.select("digest"), "digest", "left_semi")
     several = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
     return texts.join(several, "digest", "left_semi")
 
 
 def exact_dedup(spark: SparkSession, path: str, root: str | None = None, digest: Callable[[Column], Column] = sha256,
-                batch: int = BATCH_BYTES, prefilter: int = PREFILTER_ROWS) -> DataFrame:
+                batch: int = BATCH_BYTES) -> DataFrame:
     """For every row of the documents at ``path``: which row of equal text stays.
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty. The largest doc_id stays; null
@@ -108,7 +103,7 @@ def exact_dedup(spark: SparkSession, path: str, root: str | None = None, digest:
     log = digest_log(spark, path, root, digest, batch)
     state = digest_state(spark, log, root, batch)
     docs = spark.read.parquet(path)
-    clashes = stored(check_bytes(docs, state, digest, prefilter), "clashes")
+    clashes = stored(check_bytes(docs, state, digest), "clashes")
     done = join_counted(spark.read.parquet(log), state, "digest", "n").select("doc_id", "locator", "n", "stays", "digest")
     if not clashes.isEmpty():
         bad = clashes.select("digest").distinct()

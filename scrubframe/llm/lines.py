@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubframe.llm.common import join_counted, stored
+from scrubframe.llm.common import join_counted, maybe_in, stored
 from scrubframe.llm.hashing import BUCKETS, chunks, commonness, joined, mix, word_hashes
-from scrubframe.operators.numbering import with_position
 
 PERCENT, LEAST_TOKENS = 80, 3
 LIST_ROWS, KEPT = 20_000, 4
@@ -176,7 +175,8 @@ def postings_of(sets: DataFrame, list_rows: int, ask: DataFrame | None = None) -
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Text of the wanted lines (rank, doc_id, th, ln) as (rank, line)."""
-    per_doc = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("ln", "rank")).alias("lines"))
+    per_doc = stored(wanted.groupBy(*KEY).agg(F.collect_list(F.struct("ln", "rank")).alias("lines")), "wanted-lines")
+    docs = maybe_in(docs, per_doc, KEY).where("_maybe").drop("_maybe")
     rows = docs.join(per_doc, [docs[k].eqNullSafe(per_doc[k]) for k in KEY]).select("lines", "text")
     # Rows that repeat a document give the same lines again; one of each is enough.
     one = F.explode(F.transform("lines", lambda s: F.struct(s["rank"].alias("rank"), F.element_at(F.split("text", "\n", -1), (s["ln"] + 1).cast("int")).alias("line"))))
@@ -210,7 +210,9 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_TOKE
     # The first line of a set and its prefix, which is on the first line of the set in each shard.
     sets = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "th", "ln")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
                                        F.first("bits").alias("bits"), F.max("prefix").alias("prefix"), F.max("frequent").alias("frequent"))
-    sets = stored(with_position(sets.select("a", "b", "first.*", "copies", "n", "bits", "prefix", "frequent"), ["doc_id", "th", "ln"], "rank"), "line-sets")
+    # Ranks follow the order of first lines: ids rise within and across the range partitions.
+    sets = sets.select("a", "b", "first.*", "copies", "n", "bits", "prefix", "frequent").repartitionByRange("doc_id", "th", "ln")
+    sets = stored(sets.sortWithinPartitions("doc_id", "th", "ln").withColumn("rank", F.monotonically_increasing_id()), "line-sets")
     found = stored(pairs_of(postings_of(sets, list_rows), percent, kept), "candidates")
     pairs = found.where("x is not null")
     wanted = pairs.select(F.col("x").alias("rank")).union(pairs.select("y")).distinct()
@@ -247,7 +249,11 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_TOK
     rows = docs.select(*keep, "text", F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_th"))
     gone = later_lines(docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("th"), "text").where("text is not null"), percent, least, buckets,
                        list_rows, kept)
-    joined_rows = rows.join(gone, rows["_id"].eqNullSafe(gone["doc_id"]) & (rows["_th"] == gone["th"]), "left").select(*[rows[c] for c in keep], "text", "removed")
+    gone = stored(gone.withColumnsRenamed({"doc_id": "_id", "th": "_th"}), "removed")
+    marked = maybe_in(rows, gone, ["_id", "_th"])
+    rows = marked.where("_maybe")
+    found = rows.join(gone, rows["_id"].eqNullSafe(gone["_id"]) & (rows["_th"] == gone["_th"]), "left").select(*[rows[c] for c in keep], rows["text"], "removed")
+    joined_rows = found.unionByName(marked.where("not _maybe").select(*keep, "text", F.lit(None).cast("array<bigint>").alias("removed")))
     schema = T.StructType([*joined_rows.schema.fields[:-2], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()),
                            T.StructField("removed", T.ArrayType(T.LongType()))])
 
