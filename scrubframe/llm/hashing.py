@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -115,20 +116,20 @@ def commonness(docs: DataFrame, hashes: Callable[[list[str | None]], np.ndarray]
                 total += np.bincount((hashes(texts) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
         if total.any():
             parts = np.minimum(total, 0xFFFFFFFF).astype("<u4").reshape(CHUNKS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[part] = sums.get(part, np.zeros(buckets // CHUNKS, np.int64)) + np.frombuffer(counts, "<u4")
+                sums[part] = sums.get(part, np.zeros(buckets // CHUNKS, np.int64)) + np.frombuffer(zlib.decompress(counts), "<u4")
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(s, 0xFFFFFFFF).astype("<u4").tobytes() for s in sums.values()],
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(np.minimum(s, 0xFFFFFFFF).astype("<u4").tobytes(), 1) for s in sums.values()],
                                                                                        pa.binary())], ["part", "counts"])
 
     schema = "part int, counts binary"
     out = np.zeros((CHUNKS, buckets // CHUNKS), np.uint32)
     found = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(run, schema).repartition("part").mapInArrow(add, schema)
     for row in found.collect():
-        out[row["part"]] = np.frombuffer(row["counts"], "<u4")
+        out[row["part"]] = np.frombuffer(zlib.decompress(row["counts"]), "<u4")
     return out.ravel()
