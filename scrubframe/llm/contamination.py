@@ -16,7 +16,8 @@ from scrubframe.llm.common import stored
 
 WINDOW, SAMPLE, SHARD_WORDS = 10, 16, 1 << 20
 PART_BYTES = 64 << 20
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A word in text that is not lower-cased yet: digits, ASCII letters and everything beyond ASCII.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Bytes with A-Z lower-cased and every ASCII byte that is in no word as a space.
 _LOW = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BYTES = bytes(c if re.match(rb"[0-9a-z\x80-\xff]", bytes([c])) else 32 for c in _LOW)
