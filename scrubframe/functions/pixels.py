@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scrubframe.functions.boxes import let
+
 
 def overlay_group(overlay: Column) -> Column:
     """Tag group of overlay ``n``: 0x6000, 0x6002, ..."""
@@ -28,16 +30,21 @@ def extract_bitplane(pixels: Column, bit: int) -> Column:
 
 def contrast_stretch(pixels: Column, invert: Column | None = None) -> Column:
     """Rescale to 0..255 by the frame's own minimum and maximum; a constant frame is unchanged."""
-    low, high = F.array_min(pixels), F.array_max(pixels)
-    scale = F.lit(255.0) / (high - low)
+    def within(limits: Column) -> Column:
+        low, high, scale = limits["low"], limits["high"], limits["scale"]
 
-    def stretch(p: Column) -> Column:
-        up = F.floor((p - low) * scale)
-        if invert is not None:
-            up = F.when(invert, F.floor((high - p) * scale)).otherwise(up)
-        return up.cast("int")
+        def stretch(p: Column) -> Column:
+            up = F.floor((p - low) * scale)
+            if invert is not None:
+                up = F.when(invert, F.floor((high - p) * scale)).otherwise(up)
+            return up.cast("int")
 
-    return F.when(low == high, pixels).otherwise(F.transform(pixels, stretch))
+        return F.when(low == high, pixels).otherwise(F.transform(pixels, stretch))
+
+    # The limits are computed once per frame, so the time is linear in its pixels.
+    low, high = F.array_min(pixels), F.array_max(pixels)
+    scale = F.when(high > low, F.lit(255.0) / (high - low))
+    return let(F.struct(low.alias("low"), high.alias("high"), scale.alias("scale")), within)
 
 
 def blank_frame(pixels: Column) -> Column:

@@ -61,7 +61,7 @@ def output_path(path: Column, target: str | None = None, relative: str | None =
     if target and target_is_file:
         return F.lit(target)
     if target and relative:
-        below = F.substring(path, len(relative.rstrip("/")) + 2, 1 << 20)
+        below = F.substring(path, F.lit(len(relative.rstrip("/")) + 2), F.length(path))
         inside = path.startswith(relative.rstrip("/") + "/")
         rest = F.when(inside, below).otherwise(
             F.raise_error(F.concat(F.lit("path lies outside the relative root: "), path)))

@@ -15,11 +15,10 @@ def combination(cols: list[str]) -> Column:
     return F.concat(*(part for c in cols for part in (F.col(c).cast("string"), F.lit(","))))
 
 
-def combo_counts(df: DataFrame, cols: list[str], cap: int | None = None) -> DataFrame:
-    """Rows per combination. ``cap`` bounds the reported total only."""
+def combo_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows per combination."""
     counts = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("total"))
-    total = F.least(F.col("total"), F.lit(cap)) if cap else F.col("total")
-    return counts.select(combination(cols).alias("combination"), *cols, total.cast("bigint").alias("total"))
+    return counts.select(combination(cols).alias("combination"), *cols, "total")
 
 
 def combo_filter(df: DataFrame, text: str, col: str = "combination") -> DataFrame:
@@ -61,7 +60,7 @@ def group_sample_n(df: DataFrame, group: list[str], n: int, key: str, seed: int
     draws = F.array(*(F.col(f"_d{i}") for i in range(n)))
     long = picks.select(*group, F.posexplode(draws).alias("_i", "_pick"))
     return long.select(*group, (F.col("_i") + 1).alias("draw_no"),
-                       F.substring(F.col("_pick"), 10, 1 << 20).alias(key))
+                       F.expr("substring(_pick, 10)").alias(key))
 
 
 def combo_sample_n(df: DataFrame, cols: list[str], key: str, k: int = 20, seed: int = 0,
@@ -72,7 +71,7 @@ def combo_sample_n(df: DataFrame, cols: list[str], key: str, k: int = 20, seed:
             F.count(F.lit(1)).alias("total"),
             *(p.alias(f"_d{i}") for i, p in enumerate(_draws(df, cols, k, key, seed))))
         return picks.select(combination(cols).alias("combination"), "total",
-                            *(F.substring(F.col(f"_d{i}"), 10, 1 << 20).alias(f"d{i}") for i in range(k)))
+                            *(F.expr(f"substring(_d{i}, 10)").alias(f"d{i}") for i in range(k)))
     # At most k rows per combination reach the pivot; the totals are combined before their shuffle.
     drawn = group_sample_n(df, cols, k, key, seed)
     wide = drawn.groupBy(*cols).agg(*(

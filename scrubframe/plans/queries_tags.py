@@ -240,10 +240,10 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("combo_counts", f"""
-select {COMBINATION} as combination, model_name, image_type_2, burned_in, least(count(*), 1000000) as total
+select {COMBINATION} as combination, model_name, image_type_2, burned_in, count(*) as total
 from {DERIVED} group by all""")
 def _(t: Tables) -> DataFrame:
-    return sample.combo_counts(with_derived(t), COMBO, cap=1_000_000)
+    return sample.combo_counts(with_derived(t), COMBO)
 
 
 @query("combo_filter", f"""

@@ -9,7 +9,7 @@ from scrubframe.operators.rules import Rule
 from scrubframe.session import broadcast_if_small
 
 # Fixed value: names that are never images.
-NOT_IMAGES = r"(?i)(^|/)README[^/]*$|\.(txt|md|csv)$"
+NOT_IMAGES = r"(README|\.txt|\.md|\.csv)[^/]*$"
 
 
 def list_files(spark: SparkSession, roots: list[str], skip: str = NOT_IMAGES) -> DataFrame:
@@ -32,10 +32,10 @@ def resolve_manifest(manifest: DataFrame, listing: DataFrame, prefixes: list[str
 
 
 def find_path(tags: DataFrame, name: str, order: tuple[str, ...] = ("DX", "CR")) -> DataFrame:
-    """First path containing ``name``, modalities tried in the given order."""
+    """First path containing ``name``, modalities tried in the given order; no row when there is none."""
     rank = F.array_position(F.array(*(F.lit(m) for m in order)), F.col("modality"))
     rows = tags.where(F.col("path").contains(name) & (rank > 0))
-    return rows.agg(F.min(F.struct(rank.alias("_r"), F.col("path"))).alias("_m")).select(F.col("_m.path").alias("path"))
+    return rows.agg(F.min(F.struct(rank.alias("_r"), F.col("path"))).alias("_m")).where("_m is not null").select(F.col("_m.path").alias("path"))
 
 
 def series_manifest(csv: DataFrame | None, studies: list[str] | None = None, series: list[str] | None = None,

@@ -110,3 +110,15 @@ def test_report_has_no_text(spark):
 def test_constant_frame_is_not_stretched(spark):
     df = spark.createDataFrame([("a", [5, 5]), ("b", [-10, 0, 10])], "filename string, pixels array<int>")
     assert {r.filename: r.pixels for r in redact.contrast_stretch(df).collect()} == {"a": [5, 5], "b": [0, 127, 255]}
+
+
+def test_contrast_stretch_of_a_large_frame_is_quick(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from scrubframe.functions import pixels
+    frame = spark.range(1).select(F.sequence(F.lit(0), F.lit(512 * 512 - 1)).alias("pixels"))
+    start = time.time()
+    low, high = frame.select(pixels.contrast_stretch(F.col("pixels")).alias("p")).select(F.array_min("p"), F.array_max("p")).first()
+    assert (low, high) == (0, 255) and time.time() - start < 20

@@ -139,3 +139,10 @@ def test_pseudonyms(spark):
 def test_form_labels(spark):
     df = spark.createDataFrame([("Masterpage Ltd", "m"), ("a", "bv family 3"), ("a", None), ("a", "b")], "manufacturer string, model string")
     assert [r.is_form for r in classify.form_label_rule(df).collect()] == [True, True, True, False]
+
+
+def test_no_path_gives_no_row(spark):
+    from scrubframe.sources import files
+    tags = spark.createDataFrame([("DX", "/a/x.dcm")], "modality string, path string")
+    assert files.find_path(tags, "nothing").count() == 0
+    assert files.find_path(tags, "x.d").first()["path"] == "/a/x.dcm"
