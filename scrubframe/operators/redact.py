@@ -35,13 +35,21 @@ def collect_box_sources(**sources: DataFrame) -> DataFrame:
 def rects_to_frames(rects: DataFrame, frames: DataFrame) -> DataFrame:
     """Boxes with the frames they apply to; frame and overlay -1 means every frame and overlay of the file.
 
-    Two equality joins and a union, so both parts hash or sort on their keys.
+    Frame -1 with an overlay means that overlay on every frame. Three equality joins and a union, so every part hashes or
+    sorts on its keys.
     """
-    every = (F.col("frame") == -1) & (F.col("overlay") == -1)
     targets = frames.select(*FRAME_KEYS)
-    exact = rects.where(~every).join(targets, FRAME_KEYS).select(*FRAME_KEYS, *BOX_COLUMNS)
-    wild = rects.where(every).select("filename", *BOX_COLUMNS).join(targets, "filename")
-    return exact.unionByName(wild.select(*FRAME_KEYS, *BOX_COLUMNS))
+    out = None
+    for cond, keys in _reach():
+        part = rects.where(cond).select(*keys, *BOX_COLUMNS).join(targets, keys).select(*FRAME_KEYS, *BOX_COLUMNS)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _reach() -> list[tuple[Column, list[str]]]:
+    """Which boxes meet frames on which keys: one frame, all frames of an overlay, or the whole file."""
+    any_frame, any_overlay = F.col("frame") == -1, F.col("overlay") == -1
+    return [(~any_frame, FRAME_KEYS), (any_frame & ~any_overlay, ["filename", "overlay"]), (any_frame & any_overlay, ["filename"])]
 
 
 def _marks(few: DataFrame, many: DataFrame | None, keys: list[str], sizes: DataFrame) -> DataFrame:
@@ -70,27 +78,21 @@ def _marks(few: DataFrame, many: DataFrame | None, keys: list[str], sizes: DataF
 
 
 def frame_marks(rects: DataFrame, frames: DataFrame, hot: int = 4096) -> DataFrame:
-    """Marks of every frame that has boxes: its own and those of whole-file boxes."""
+    """Marks of every frame that has boxes: its own, those of boxes on all frames of its overlay and of whole-file boxes."""
     inside = ((F.col("box_left") >= 0) & (F.col("box_top") >= 0) & (F.col("box_right") >= F.col("box_left"))
               & (F.col("box_bottom") >= F.col("box_top")))
-    every = (F.col("frame") == -1) & (F.col("overlay") == -1)
     sizes = frames.select(*FRAME_KEYS, "n_rows", "n_cols")
-    file_sizes = frames.groupBy("filename").agg(F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols"))
     boxes = only_wanted(rects.where(inside).select(*FRAME_KEYS, *BOX_COLUMNS), frames, "filename")
     few, many = split_hot_groups(boxes, FRAME_KEYS, hot)
-
-    def parts(cond: Column) -> list[DataFrame | None]:
-        return [p.where(cond) if p is not None else None for p in (few, many)]
-
-    own = _marks(*parts(~every), FRAME_KEYS, sizes)
-    whole = _marks(*parts(every), ["filename"], file_sizes)
-    both = (sizes.select(*FRAME_KEYS).join(own, FRAME_KEYS, "left")
-            .join(whole.select("filename", *(F.col(c).alias("all_" + c) for c in MARKS)), "filename", "left")
-            .where(F.col("mark_x").isNotNull() | F.col("all_mark_x").isNotNull()))
+    both, have = sizes.select(*FRAME_KEYS), []
+    for i, (cond, keys) in enumerate(_reach()):
+        size = sizes if keys == FRAME_KEYS else sizes.groupBy(*keys).agg(F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols"))
+        marks = _marks(few.where(cond), None if many is None else many.where(cond), keys, size)
+        both = both.join(marks.select(*keys, *(F.col(c).alias(f"{c}_{i}") for c in MARKS)), keys, "left")
+        have.append(F.col(f"mark_x_{i}").isNotNull())
     none = F.array().cast("array<bigint>")
-    return both.select(*FRAME_KEYS, *(F.concat(
-        F.coalesce(F.col(c).cast("array<bigint>"), none),
-        F.coalesce(F.col("all_" + c).cast("array<bigint>"), none)).alias(c) for c in MARKS))
+    return both.where(have[0] | have[1] | have[2]).select(*FRAME_KEYS, *(F.concat(
+        *(F.coalesce(F.col(f"{c}_{i}").cast("array<bigint>"), none) for i in range(len(have)))).alias(c) for c in MARKS))
 
 
 def _covered(rows: int, cols: int, x: np.ndarray, y: np.ndarray, d: np.ndarray) -> np.ndarray:

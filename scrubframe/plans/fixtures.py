@@ -119,7 +119,7 @@ select filename, frame, 0 as overlay, n_rows, n_cols, samples, bits_stored,
 VIEWS["fx_frame_rects"] = r"""
 select concat('img', l_orderkey) as filename,
   cast(case when l_linenumber % 3 = 0 then -1 else l_linenumber % 2 end as int) as frame,
-  cast(case when l_linenumber % 3 <> 0 and l_suppkey % 4 = 0 then 0 else -1 end as int) as overlay,
+  cast(case when l_suppkey % 4 = 0 then 0 else -1 end as int) as overlay,
   cast(l_partkey % 8 as int) as box_left, cast(l_suppkey % 8 as int) as box_top,
   cast(l_partkey % 8 + cast(l_quantity as int) % 4 as int) as box_right,
   cast(l_suppkey % 8 + cast(l_quantity as int) % 3 as int) as box_bottom

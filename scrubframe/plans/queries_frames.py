@@ -56,7 +56,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("rects_to_frames", f"""
 select f.filename, f.frame, f.overlay, {BOX} from {{fx_frames}} f join {{fx_frame_rects}} r on r.filename = f.filename
-  and ((r.frame = f.frame and r.overlay = f.overlay) or (r.frame = -1 and r.overlay = -1))""")
+  and ((r.frame in (-1, f.frame) and r.overlay = f.overlay) or (r.frame = -1 and r.overlay = -1))""")
 def _(t: Tables) -> DataFrame:
     return redact.rects_to_frames(t.fx_frame_rects, t.fx_frames)
 
@@ -81,7 +81,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("redact_overlay_frame", _masked_sql(
     f"(select {FRAME}, pixels from {{fx_frames}} union all select {FRAME}, pixels from {{fx_overlay_frames}})", "{fx_frame_rects}",
-    "px.overlay >= 0 and ((b.frame = -1 and b.overlay = -1) or (b.frame = px.frame and b.overlay = px.overlay))", "0"))
+    "px.overlay >= 0 and ((b.frame = -1 and b.overlay = -1) or (b.frame in (-1, px.frame) and b.overlay = px.overlay))", "0"))
 def _(t: Tables) -> DataFrame:
     every = t.fx_frames.unionByName(t.fx_overlay_frames)
     return sums(redact.redact_overlay_frame(every, t.fx_frame_rects))
