@@ -31,9 +31,12 @@ def items_to_rects(items: DataFrame, entities: DataFrame | None = None, engine:
 
 
 def boxes_to_redact(found: DataFrame, glossary: DataFrame | None = None, **more: DataFrame) -> DataFrame:
-    """Boxes to apply: stored boxes whose text is not safe, boxes of other sources, none hidden in another."""
+    """Boxes to apply: stored boxes whose text is not safe, boxes of other sources, none hidden in another.
+
+    A text is safe when the allowlist has stored it as such or matches it now.
+    """
     stored = rects.drop_huge_font(rects.rects_valid(found))
-    unsafe = allowlist.apply_allowlist_before_redaction(stored.drop("nerengine"), glossary)
+    unsafe = allowlist.apply_allowlist_before_redaction(stored, glossary)
     sources = collect_box_sources(stored=unsafe, **more)
     return rects.maximal_rects(sources, counted=collect_box_sources(stored=found, **more))
 

@@ -609,7 +609,8 @@ def _(t: Tables) -> DataFrame:
 @query("boxes_to_redact", f"""
 with {safe_sql('{fx_rects}')},
 kept as (select distinct {FRAME}, {BOX} from {{fx_rects}} where box_left <> -1 and {VALID}
-  and not (length(ocrtext) between 1 and 5 and {AREA} > 3000 * length(ocrtext)) and ocrtext not in (select t from safe_text))
+  and not (length(ocrtext) between 1 and 5 and {AREA} > 3000 * length(ocrtext)) and ocrtext not in (select t from safe_text)
+  and not (nerengine = 50 and nerpii = 0 and ocrtext <> ''))
 select filename, count(*) as n_boxes, cast(sum({AREA}) as bigint) as area from kept a where not exists (select 1 from kept b
   where a.filename = b.filename and a.frame = b.frame and a.overlay = b.overlay and b.box_left <= a.box_left and b.box_top <= a.box_top
   and b.box_right >= a.box_right and b.box_bottom >= a.box_bottom and (a.box_left, a.box_top, a.box_right, a.box_bottom)
