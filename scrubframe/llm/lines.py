@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from scrubframe.llm.common import join_counted, maybe_in, stored
 from scrubframe.llm.hashing import BUCKETS, chunks, commonness, joined, mix, word_hashes
 
-PERCENT, LEAST_TOKENS = 80, 3
+PERCENT = 80
 LIST_ROWS, KEPT = 20_000, 4
 KEY = ["doc_id", "th"]
 
@@ -54,9 +54,10 @@ def similar(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) ->
     return 100 * overlap >= percent * (a + b - overlap)
 
 
-def describe(docs: DataFrame, common: np.ndarray, percent: int, least: int, list_rows: int) -> DataFrame:
-    """Per line with at least ``least`` distinct tokens: doc_id, th, ln, its set's signatures a and b, its size n and, at the
-    first line of a set in a shard, the rarest tokens (prefix), those of them that may be in long lists, and parity bits."""
+def describe(docs: DataFrame, common: np.ndarray, percent: int, list_rows: int) -> DataFrame:
+    """Per line with tokens: doc_id, th, ln, its set's signatures a and b, its size n and, at the first line of a set in a shard,
+    the rarest tokens (prefix), those of them that may be in long lists, and parity bits. Sets so small that only an equal one
+    is similar (at best n of n + 1 tokens are shared) have no prefix: their signatures are enough."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
     names = ["doc_id", "th", "ln", "a", "b", "n", "bits", "prefix", "frequent"]
 
@@ -73,20 +74,19 @@ def describe(docs: DataFrame, common: np.ndarray, percent: int, least: int, list
                 two = np.add.reduceat(mix(words ^ np.uint64(0xA24BAED4963EE407)), begins[:-1])
                 a, b = (mix(x + n.astype(np.uint64)).view(np.int64) for x in (one, two))
                 parity = np.bitwise_xor.reduceat(np.uint64(1) << (words >> np.uint64(58)), begins[:-1]).view(np.int64)
-                keep = np.flatnonzero(n >= least)
-                _, at = np.unique(a[keep], return_index=True)
+                _, at = np.unique(a, return_index=True)
                 fresh = np.zeros(len(n), bool)
-                fresh[keep[at]] = True
-                take = np.where(fresh, n - -(-percent * n // 100) + 1, 0)
+                fresh[at] = True
+                take = np.where(fresh & (100 * n >= percent * (n + 1)), n - -(-percent * n // 100) + 1, 0)
                 place = np.arange(len(words)) - begins[dense]
                 chosen = place < take[dense]
                 prefix, of = words[chosen].view(np.int64), dense[chosen]
                 often = counts[(words[chosen] & np.uint64(len(counts) - 1)).astype(np.int64)] > list_rows
-                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(o, minlength=len(n))[keep])]), pa.int32()), pa.array(p))
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(o, minlength=len(n)))]), pa.int32()), pa.array(p))
                          for p, o in ((prefix, of), (prefix[often], of[often]))]
-                rows = pa.array(low + text[keep])
-                yield pa.RecordBatch.from_arrays([ids.take(rows), hashes.take(rows), pa.array(ln[keep]), pa.array(a[keep]), pa.array(b[keep]), pa.array(n[keep]),
-                                                  pa.array(parity[keep]), *lists], names)
+                rows = pa.array(low + text)
+                yield pa.RecordBatch.from_arrays([ids.take(rows), hashes.take(rows), pa.array(ln), pa.array(a), pa.array(b), pa.array(n),
+                                                  pa.array(parity), *lists], names)
 
     schema = "doc_id bigint, th bigint, ln bigint, a bigint, b bigint, n bigint, bits bigint, prefix array<bigint>, frequent array<bigint>"
     return docs.mapInArrow(run, schema)
@@ -202,11 +202,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("y", "text_x", "text_y").mapInArrow(run, "rank bigint").distinct()
 
 
-def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_TOKENS, buckets: int = BUCKETS, list_rows: int = LIST_ROWS,
+def later_lines(docs: DataFrame, percent: int = PERCENT, buckets: int = BUCKETS, list_rows: int = LIST_ROWS,
                 kept: int = KEPT) -> DataFrame:
     """The lines to remove, as (doc_id, th, removed: sorted line numbers from 0); ``docs`` has doc_id, th and text."""
     common = commonness(docs, tokens, buckets)
-    lines = stored(describe(docs, common, percent, least, list_rows), "lines")
+    lines = stored(describe(docs, common, percent, list_rows), "lines")
     # The first line of a set and its prefix, which is on the first line of the set in each shard.
     sets = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "th", "ln")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
                                        F.first("bits").alias("bits"), F.max("prefix").alias("prefix"), F.max("frequent").alias("frequent"))
@@ -234,20 +234,20 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_TOKE
     return seen.groupBy(*KEY).agg(F.array_sort(F.collect_set("ln")).alias("removed"))
 
 
-def deduplicated(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_TOKENS, buckets: int = BUCKETS, list_rows: int = LIST_ROWS,
+def deduplicated(docs: DataFrame, percent: int = PERCENT, buckets: int = BUCKETS, list_rows: int = LIST_ROWS,
                  kept: int = KEPT, keep: list[str] | None = None) -> DataFrame:
     """Remove every line that is similar to an earlier line of the corpus; adds n_lines and removed (line numbers).
 
     Lines end at line breaks. A line's set is its distinct words (runs without ASCII white space, A-Z lower-cased). A line is
-    removed when an earlier line, removed or not, has 100 * intersection >= ``percent`` * union; lines of fewer than
-    ``least`` distinct words, blank ones too, stay. Earlier means less by doc_id (null first), then by a hash of the text,
+    removed when an earlier line, removed or not, has 100 * intersection >= ``percent`` * union; only lines
+    without words stay in any case. Earlier means less by doc_id (null first), then by a hash of the text,
     then by line number. Rows that agree in doc_id and text are one document and are treated alike, so they all keep the
     same lines. Null text stays null with no line; other columns come along (``keep`` limits them), and columns called
     n_lines or removed are replaced. An empty table gives no rows.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_lines", "removed", "text")]
     rows = docs.select(*keep, "text", F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_th"))
-    gone = later_lines(docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("th"), "text").where("text is not null"), percent, least, buckets,
+    gone = later_lines(docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("th"), "text").where("text is not null"), percent, buckets,
                        list_rows, kept)
     gone = stored(gone.withColumnsRenamed({"doc_id": "_id", "th": "_th"}), "removed")
     marked = maybe_in(rows, gone, ["_id", "_th"])

@@ -63,6 +63,19 @@ def test_long_lists_and_more_candidates_change_nothing(spark):
         assert {tuple(r) for r in got} == want
 
 
+def test_short_lines_are_joined(spark, duck):
+    texts = ["Les.\nyes no\n\n" + "la " * 200, "les.\n\n \nno YES no\nles", "你好世界\nla\none two three", "你好世界\nthree two one\none two three four",
+             "yes\nno\nyes no x\nLes."]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = [(d, n, frozenset(line.lower().split())) for d, t in enumerate(texts) for n, line in enumerate(t.split("\n"))]
+    for percent in (80, 50):
+        want = {(d, n) for d, n, s in sets if s and any((e, m) < (d, n) and 100 * len(s & t) >= percent * len(s | t) for e, m, t in sets)}
+        got = lines.deduplicated(frame, percent=percent).select("doc_id", F.explode("removed")).collect()
+        assert {tuple(r) for r in got} == want and len(want) >= 6
+    sql = queries.oracle_sql()["op1_line_dedup"]
+    assert compare(queries.queries()["op1_line_dedup"](spark, SMALL), duck, sql.replace("len(s) >= 3", "len(s) >= 1")).startswith("ok")
+
+
 def test_chat_is_reversible(spark):
     texts = ["<|im_end|>", "<\\|a<|b", None, "", "plain ä", "<|im_end|><|im_start|>assistant ok"]
     rows = [(1, k, "assistant" if k % 2 else "us<|\ner<n", t) for k, t in enumerate(texts)] + [(None, None, None, None)]
