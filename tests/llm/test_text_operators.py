@@ -247,6 +247,19 @@ def test_jaccard_join_against_brute_force(spark, limits):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
 
 
+@pytest.mark.parametrize("parts", [(2, 1), (1, 2)])
+def test_links_do_not_depend_on_equal_shards(spark, monkeypatch, parts):
+    plain, runs = jaccard.describe, []
+
+    def dealt(docs, *args):
+        runs.append(parts[min(len(runs), 1)])
+        return plain(docs.repartitionByRange(runs[-1], "doc_id"), *args)
+
+    monkeypatch.setattr(jaccard, "describe", dealt)
+    pair = spark.createDataFrame([(1, BASE), (2, BASE + " more")], "doc_id bigint, text string")
+    assert {tuple(r) for r in jaccard.near_duplicates(pair).select("doc_id", "component_id").collect()} == {(1, 1), (2, 1)}
+
+
 def test_signature_tree_finds_all_classes():
     rng = np.random.default_rng(7)
     sets = [np.unique(rng.integers(0, 1 << 63, 40, dtype=np.int64).astype(np.uint64)) for _ in range(3)]
