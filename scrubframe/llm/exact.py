@@ -33,9 +33,16 @@ def located(docs: DataFrame) -> DataFrame:
 
 
 def _read_stream(spark: SparkSession, path: str, batch: int) -> DataFrame:
-    """A stream over the files at ``path``, a folder or one file; the file source takes one file only as a pattern."""
+    """A stream over the files at ``path``, a folder or one file.
+
+    The file source takes one file only as a pattern. A folder is read by its plain path: for a pattern the source would
+    take every file in it, also those that a stream's sink did not commit.
+    """
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxBytesPerTrigger", str(batch)).parquet(f"{path[:-1]}[{path[-1]}]")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    single = store.exists(at) and store.getFileStatus(at).isFile()
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", str(batch)).parquet(f"{path[:-1]}[{path[-1]}]" if single else path)
 
 
 def _finish(writer) -> None:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import shutil
 
 import duckdb
 import numpy as np
@@ -217,6 +218,16 @@ def test_exact_dedup_with_colliding_digests(spark, docs, tmp_path):
         assert by[None] == [(None, 1, True)]
 
 
+def test_exact_dedup_ignores_stray_files_in_the_log(spark, docs, tmp_path):
+    path, root = str(tmp_path / "docs"), str(tmp_path / "root")
+    docs.write.parquet(path)
+    log = exact.digest_log(spark, path, root)
+    for k, part in enumerate(sorted((tmp_path / "root" / "log").glob("part-*.parquet"))):
+        shutil.copy(part, f"{log}/part-stray-{k}.parquet")
+    sizes = {r["doc_id"]: r["group_size"] for r in exact.exact_dedup(spark, path, root).collect()}
+    assert sizes == {1: 2, 2: 2, 3: 1, 4: 2, 5: 2, 6: 2, 7: 1, None: 1, 8: 1, 9: 1}
+
+
 def brute_components(rows):
     def shingles(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
