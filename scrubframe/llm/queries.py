@@ -225,7 +225,7 @@ with lines as (select doc_id, text, unnest(string_split(text, chr(10))) as line,
 tokens as (
   select doc_id, ln, line, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) as s
   from lines),
-sets as (select s, len(s) as n, min(struct_pack(d := doc_id, l := ln)) as first, row_number() over () as id from tokens where len(s) >= 3 group by s),
+sets as (select s, len(s) as n, min(struct_pack(d := doc_id, l := ln)) as first, row_number() over () as id from tokens where len(s) >= 1 group by s),
 elements as (select id, n, first, unnest(s) as e from sets),
 counted as (
   select x.id as a, y.id as b, count(*) as common, any_value(x.n) as n, any_value(y.n) as m
