@@ -1,5 +1,11 @@
 """Every registered query against its checking SQL on the smallest tables, and the shape of the plans."""
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -70,3 +76,13 @@ def test_filters_reach_the_scan(spark):
     plan = rects.rects_valid(df).select("filename")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_linenumber), Not(EqualTo(l_linenumber,-1))]" in plan
     assert "l_tax" not in plan
+
+
+def test_entry_without_the_text_folders(tmp_path):
+    root = Path(entry.__file__).parent
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(root / name, tmp_path)
+    shutil.copytree(root / "scrubframe", tmp_path / "scrubframe", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    assert done.stdout.split() == [str(len(QUERIES)), str(len(SQL))], done.stderr
