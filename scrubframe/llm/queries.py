@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubframe.llm.chat import chat_format, read_back
@@ -16,7 +16,8 @@ from scrubframe.llm.jaccard import near_duplicates
 from scrubframe.llm.language import held_out, identify, learn
 from scrubframe.llm.lines import deduplicated
 from scrubframe.llm.mix import mixed
-from scrubframe.llm.pii import BASE_KINDS, joined, personal_data
+from scrubframe.llm.periodic import periodic_runs
+from scrubframe.llm.pii import BASE_KINDS, joined, once, personal_data
 from scrubframe.llm.warc import archived
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -241,3 +242,68 @@ from documents d left join (
          string_agg(line, chr(10) order by ln) filter (where not removed) as kept
   from marked group by doc_id) m using (doc_id)
 """
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """The documents of the contract: in one of ten, by the checksum of its id, the words from a on repeat with period p."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeat(words: Column) -> Column:
+        n = F.size(words).cast("bigint")
+
+        def at(a: Column) -> Column:
+            p = F.lit(1) + F.floor((n - a) / (g % 8 + 3))
+            return F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: words[F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")])
+
+        return F.when(n > 0, F.array_join(once(g % n, at), " ")).otherwise(F.col("text"))
+
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    return docs.withColumn("text", F.when(h % 10 == 0, once(words, repeat)).otherwise(F.col("text")))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs(planted(table(spark, folder, "documents").select("doc_id", "text")))
+    runs = found.withColumn("top", F.array_min(F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"], r["length"]))))
+    told = F.concat(F.lit(""), F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n"),
+                    F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return runs.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("top.start").alias("start"), F.col("top.length").alias("length"),
+                       F.col("top.period").alias("period"), F.floor(F.col("top.length") * 1000 / F.col("top.period")).alias("exponent_milli"),
+                       F.sha2(told.cast("binary"), 256).alias("runs_sha256"),
+                       F.sha2(F.coalesce("collapsed", F.lit("")).cast("binary"), 256).alias("collapsed_sha256"))
+
+
+#: Checksum of ASCII text: eight shifts a byte.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::ubigint, flatten([[ord(c)::ubigint, 0, 0, 0, 0, 0, 0, 0] for c in string_split({0}, '')])),
+  lambda x, y: xor(xor(x, y) >> 1, 3988292384::ubigint * (xor(x, y) & 1))), 4294967295::ubigint)"""
+
+_SQL["op13_periodic_runs"] = r"""
+with split as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, """ + _CRC32.format("doc_id::varchar") + r"""::bigint as h
+  from documents),
+placed as (select doc_id, w, h, h // 10 as g, len(w) as n, case when len(w) > 0 then (h // 10) % len(w) else 0 end as a from split),
+shifted as (select *, 1 + (n - a) // (3 + g % 8) as p from placed),
+turned as (select doc_id, n, case when h % 10 = 0 and n > 0 then [w[case when i < a then i else a + (i - a) % p end + 1] for i in range(n)] else w end as w from shifted),
+words as (select doc_id, unnest(range(n)) as i, unnest(w) as word from turned),
+blocks as (
+  select doc_id, i, string_agg(word, ' ') over k as block, count(*) over k as size
+  from words window k as (partition by doc_id order by i rows between 5 preceding and current row)),
+pairs as (select y.doc_id, y.i, y.i - x.i as q from blocks x join blocks y on x.doc_id = y.doc_id and x.block = y.block and x.i < y.i and x.size = 6 and y.size = 6),
+islands as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as island from pairs),
+stretches as (select doc_id, q, min(i) - 5 - q as start, max(i) - min(i) + 6 + q as length from islands group by doc_id, q, island),
+runs as (select doc_id, start, length, min(q) as period from stretches where length >= greatest(12, 2 * q) group by doc_id, start, length),
+gone as (select doc_id, pos, sum(step) as step from (
+    select doc_id, start + period as pos, 1 as step from runs union all select doc_id, start + length, -1 from runs) group by doc_id, pos),
+kept as (
+  select doc_id, string_agg(word, ' ' order by i) as collapsed from (
+    select w.doc_id, w.i, w.word, sum(coalesce(g.step, 0)) over (partition by w.doc_id order by w.i) as inside
+    from words w left join gone g on g.doc_id = w.doc_id and g.pos = w.i) where inside = 0 group by doc_id),
+told as (
+  select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as listed,
+         min(struct_pack(l := -length, s := start, p := period)) as top
+  from runs group by doc_id)
+select d.doc_id, coalesce(t.n_runs, 0)::bigint as n_runs, t.top.s::bigint as start, (-t.top.l)::bigint as length, t.top.p::bigint as period,
+       (1000 * -t.top.l // t.top.p)::bigint as exponent_milli, sha256(coalesce(t.listed, '')) as runs_sha256, sha256(coalesce(k.collapsed, '')) as collapsed_sha256
+from documents d left join told t using (doc_id) left join kept k using (doc_id)
+"""
