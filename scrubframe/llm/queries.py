@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrubframe.llm.bpe import encoded
 from scrubframe.llm.chat import chat_format, read_back
 from scrubframe.llm.common import table
 from scrubframe.llm.contamination import contaminated
@@ -307,3 +308,12 @@ select d.doc_id, coalesce(t.n_runs, 0)::bigint as n_runs, t.top.s::bigint as sta
        (1000 * -t.top.l // t.top.p)::bigint as exponent_milli, sha256(coalesce(t.listed, '')) as runs_sha256, sha256(coalesce(k.collapsed, '')) as collapsed_sha256
 from documents d left join told t using (doc_id) left join kept k using (doc_id)
 """
+
+
+@query
+def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = encoded(docs, public_tokenizers.path("word_bpe_49k.json"), decode=True)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
