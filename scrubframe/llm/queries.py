@@ -19,6 +19,7 @@ from scrubframe.llm.lines import deduplicated
 from scrubframe.llm.mix import mixed
 from scrubframe.llm.periodic import periodic_runs
 from scrubframe.llm.pii import BASE_KINDS, joined, once, personal_data
+from scrubframe.llm.spelling import LEAST_LENGTH, runs, variants
 from scrubframe.llm.warc import archived
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +39,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+#: Checksum of the bytes of a text: eight shifts a byte.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::ubigint, flatten([[('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::ubigint, 0, 0, 0, 0, 0, 0, 0]
+    for i in range(octet_length(encode({0})))])),
+  lambda x, y: xor(xor(x, y) >> 1, 3988292384::ubigint * (xor(x, y) & 1))), 4294967295::ubigint)"""
+
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -275,10 +281,6 @@ def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
                        F.sha2(F.coalesce("collapsed", F.lit("")).cast("binary"), 256).alias("collapsed_sha256"))
 
 
-#: Checksum of ASCII text: eight shifts a byte.
-_CRC32 = """xor(list_reduce(list_prepend(4294967295::ubigint, flatten([[ord(c)::ubigint, 0, 0, 0, 0, 0, 0, 0] for c in string_split({0}, '')])),
-  lambda x, y: xor(xor(x, y) >> 1, 3988292384::ubigint * (xor(x, y) & 1))), 4294967295::ubigint)"""
-
 _SQL["op13_periodic_runs"] = r"""
 with split as (
   select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, """ + _CRC32.format("doc_id::varchar") + r"""::bigint as h
@@ -310,6 +312,45 @@ from documents d left join told t using (doc_id) left join kept k using (doc_id)
 """
 
 
+def misspelt(words: DataFrame) -> DataFrame:
+    """The words of the contract: one run in 31, by the checksum of its document's id and itself, has lost a code point."""
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("word")).cast("binary"))
+    at = (h % F.char_length("word")).cast("int")
+    cut = F.concat(F.left("word", at), F.substring("word", at + 2, F.char_length("word")))
+    return words.select(F.when(h % 31 == 0, cut).otherwise(F.col("word")).alias("word")).where(F.char_length("word") >= LEAST_LENGTH)
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants(misspelt(runs(table(spark, folder, "documents").select("doc_id", "text"))))
+
+
+_SQL["op11_spelling_variants"] = r"""
+with recursive runs as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) as word from documents),
+long as (select doc_id, word from runs where len(word) >= 7),
+told as (
+  select word, """ + _CRC32.format("doc_id || ':' || word") + r"""::bigint as h from long),
+spelt as (select case when h % 31 = 0 then substr(word, 1, (h % len(word))::int) || substr(word, (h % len(word))::int + 2) else word end as word from told),
+vocabulary as (select word, count(*) as n from spelt where len(word) >= 7 group by word having count(*) >= 2),
+holes as (select word, n, unnest(list_distinct([substr(word, 1, i) || '*' || substr(word, i + 2) for i in range(len(word))])) as hole from vocabulary),
+shorter as (select word, n, unnest(list_distinct([substr(word, 1, i) || substr(word, i + 2) for i in range(len(word))])) as less from vocabulary),
+near as (
+  select x.word, y.word as other, y.n as other_n from holes x join holes y on x.hole = y.hole and x.word <> y.word
+  union all select s.word, v.word, v.n from shorter s join vocabulary v on s.less = v.word
+  union all select v.word, s.word, s.n from shorter s join vocabulary v on s.less = v.word),
+best as (select word, count(*) as n_near, min(struct_pack(m := -other_n, w := other)) as best from near group by word),
+formed as (
+  select v.word, v.n, coalesce(b.n_near, 0) as n_near, case when -b.best.m >= 10 * v.n then b.best.w end as form, case when -b.best.m >= 10 * v.n then -b.best.m end as form_n
+  from vocabulary v left join best b using (word)),
+path as (
+  select word, word as root, 0 as step from formed
+  union all select p.word, f.form, p.step + 1 from path p join formed f on f.word = p.root where f.form is not null)
+select f.word, f.form, p.root, f.n::bigint as n, f.n_near::bigint as n_near, f.form_n::bigint as form_n
+from formed f join (select word, arg_max(root, step) as root from path group by word) p using (word)
+"""
+
+
 @query
 def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
