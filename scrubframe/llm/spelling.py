@@ -91,11 +91,11 @@ class Filters:
         return some[(block & want) == want]
 
 
-def positives(words: list[str], alphabet: np.ndarray, filters: Filters) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Numbers of words and keys of their edits that the filters may hold.
+def positives(words: list[str], alphabet: np.ndarray, filters: Filters) -> Iterator[tuple[np.ndarray, ...]]:
+    """Edits that the filters may hold: number of the word, key, place, and the new letter's number (-1: deleted).
 
     Edits are one deleted letter, or one letter replaced by a greater one: of two near words, at least one has the other
-    among these. Equal results of one word count once.
+    among these. An edit that gives the same word as another comes once.
     """
     code, at = _code_points(words)
     size = np.diff(at)
@@ -109,10 +109,10 @@ def positives(words: list[str], alphabet: np.ndarray, filters: Filters) -> Itera
     begin, end = at[owner], at[owner + 1]
     kept = (place == 0) | (code != np.concatenate([code[:1], code[:-1]]))
     deleted = (sums[:-1] - sums[begin] + tails[end] - tails[1:])[kept]
-    of = owner[kept]
+    of, where = owner[kept], place[kept]
     key = _key(deleted, size[of] - 1)
     hit = filters.may_hold(key, size[of] - 1)
-    yield of[hit], key[hit]
+    yield of[hit], key[hit], where[hit], np.full(len(hit), -1)
     for low in range(0, len(code), SLAB):
         c, p, o = code[low:low + SLAB], place[low:low + SLAB], owner[low:low + SLAB]
         row, letter = np.nonzero(alphabet[None, :] > c[:, None])
@@ -120,7 +120,7 @@ def positives(words: list[str], alphabet: np.ndarray, filters: Filters) -> Itera
         table = _letter(np.tile(alphabet, len(places)), np.repeat(places, len(alphabet))).reshape(len(places), len(alphabet))
         key = _key((whole[o] - value[low:low + SLAB])[row] + table[which[row], letter], size[o][row])
         hit = filters.may_hold(key, size[o][row])
-        yield o[row[hit]], key[hit]
+        yield o[row[hit]], key[hit], p[row[hit]], letter[hit]
 
 
 def vocabulary(words: DataFrame, least_count: int = LEAST_COUNT) -> DataFrame:
@@ -158,7 +158,7 @@ def near_pairs(words: DataFrame, alphabet: list[str], per_block: int = WORDS_PER
     spark = words.sparkSession
     counts = {r["shard"]: r["many"] for r in words.groupBy("shard").agg(F.count(F.lit(1)).alias("many")).collect()}
     layout, letters = Layout.of(counts, per_block), np.array(sorted(map(ord, alphabet)), np.uint32)
-    total, found = int(layout.blocks.sum()), []
+    strings, total, found = pa.array(["", *map(chr, letters)], pa.string()), int(layout.blocks.sum()), []
     for low in range(0, total, pass_blocks):
         high = min(low + pass_blocks, total)
         held = [k for k in range(SHARDS + 1) if layout.blocks[k] and layout.first[k] < high and layout.first[k] + layout.blocks[k] > low]
@@ -167,12 +167,12 @@ def near_pairs(words: DataFrame, alphabet: list[str], per_block: int = WORDS_PER
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column("id").to_numpy()
-                for row, key in positives(batch.column("word").to_pylist(), letters, shared.value):
-                    both = np.unique(np.stack([ids[row], key.view(np.int64)], axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["id", "key"])
+                for row, key, place, letter in positives(batch.column("word").to_pylist(), letters, shared.value):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(key.view(np.int64)), pa.array(place.astype(np.int32)),
+                                                      strings.take(pa.array(letter + 1))], ["id", "key", "place", "letter"])
 
         asking = words.where(F.col("shard").isin(sorted({s for k in held for s in (k, min(k + 1, SHARDS))}))).select("id", "word")
-        found.append(stored(asking.mapInArrow(run, "id bigint, key bigint"), "positives"))
+        found.append(stored(asking.mapInArrow(run, "id bigint, key bigint, place int, letter string"), "positives"))
         shared.destroy()
     if not found:
         return words.select(*[F.col(c).alias(f"{side}{n}") for side in "ab" for c, n in (("id", "_id"), ("word", ""), ("n", "_n"))]).limit(0)
@@ -182,7 +182,8 @@ def near_pairs(words: DataFrame, alphabet: list[str], per_block: int = WORDS_PER
     held = words.select("key", F.col("id").alias("b_id"), F.col("word").alias("b"), F.col("n").alias("b_n"))
     met = asked.withColumnRenamed("id", "a_id").join(held, "key").drop("key")
     pairs = met.join(words.select(F.col("id").alias("a_id"), F.col("word").alias("a"), F.col("n").alias("a_n")), "a_id")
-    return stored(pairs.where(F.levenshtein("a", "b", 1) == 1), "near-words")
+    edit = F.concat(F.left("a", F.col("place")), F.col("letter"), F.substring("a", F.col("place") + 2, F.char_length("a")))
+    return stored(pairs.where(edit == F.col("b")).drop("place", "letter"), "near-words")
 
 
 def _roots(forms: DataFrame) -> DataFrame:
