@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +16,24 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 CHUNK_BYTES = 1 << 20
-PIECES, NODES = 1 << 18, 1 << 19
+PIECES, NODES = 1 << 20, 1 << 20
 GROUP = 200
 #: White space as the library's patterns see it: without the separators 1C to 1F.
 SPACE = re.compile(r"[^\S\x1c-\x1f]+")
 
 
+def _sizes(table: dict[str, int]) -> dict[str, tuple[int, ...]]:
+    """Lengths of the tokens that may end a text, by its last three symbols (or the last two), the longest first."""
+    found: dict[str, set[int]] = {}
+    for word in table:
+        if len(word) > 1:
+            found.setdefault(word[-3:], {1}).add(len(word))
+    for tail, sizes in found.items():
+        if tail[1:] in found:
+            sizes.add(2)
+    return {tail: tuple(sorted(sizes, reverse=True)) for tail, sizes in found.items()}
+
+
 class Merges:
     """The merge rules: for two tokens, whether BPE ever joins the end of one with the start of the other."""
 
@@ -46,8 +58,9 @@ class Merges:
         #: Tokens that BPE gives for their own text; no other can be the last one of an encoding.
         self.plain = {w: t for w, t in self.vocab.items() if usable[t] and not (self.suffix and w.endswith(self.suffix))}
         self.final = {w[:-len(self.suffix)]: t for w, t in self.vocab.items() if usable[t] and w.endswith(self.suffix)} if self.suffix else self.plain
-        self.longest = max(map(len, self.vocab))
-        self.known: dict[tuple[int, int], bool] = {}
+        self.plain_sizes, self.final_sizes = _sizes(self.plain), _sizes(self.final)
+        self.size = size
+        self.known: dict[int, bool] = {}
 
     def _symbols(self) -> frozenset[int]:
         if not hasattr(self, "_base"):
@@ -71,56 +84,56 @@ class Merges:
             else:
                 before, u = rank[u], self.right[u]
 
-    def follows(self, u: int, t: int) -> bool:
-        found = self.known.get((u, t))
-        if found is None:
-            if len(self.known) >= NODES:
-                self.known.clear()
-            found = self.known[u, t] = self.apart(u, t)
-        return found
-
 
 class Trie:
     """Words by their symbols. A node knows the last token of the encoding of its path and the node before that token."""
 
     def __init__(self, merges: Merges) -> None:
         self.merges = merges
-        self.child: dict[tuple[int, str], int] = {}
+        self.child: dict[int, int] = {}
         self.last, self.back = array("q", [-1]), array("q", [0])
+        self.known: dict[str, bytes] = {}
 
-    def _state(self, word: str, depth: int, path: list[int], table: dict[str, int]) -> tuple[int, int]:
+    def _state(self, word: str, depth: int, path: list[int], table: dict[str, int], sizes: dict[str, tuple[int, ...]]) -> tuple[int, int]:
         """The last token of the first ``depth`` symbols and the node before it: exactly one token is apart from its predecessor."""
-        last, follows = self.last, self.merges.follows
-        for size in range(min(depth, self.merges.longest), 0, -1):
-            token = table.get(word[depth - size:depth])
+        merges, tail = self.merges, word[depth - 3:depth] if depth > 2 else word[:depth]
+        for length in sizes.get(tail) or sizes.get(tail[1:]) or (1,):
+            token = table.get(word[depth - length:depth]) if length <= depth else None
             if token is not None:
-                node = path[depth - size]
-                if not node or follows(last[node], token):
+                node = path[depth - length]
+                if not node:
+                    return token, node
+                pair = self.last[node] * merges.size + token
+                follows = merges.known.get(pair)
+                if follows is None:
+                    follows = merges.known[pair] = merges.apart(self.last[node], token)
+                if follows:
                     return token, node
         raise ValueError(f"no token for symbol {word[depth - 1]!r}")
 
-    def encode(self, words: list[str]) -> dict[str, list[int]]:
-        """Token ids per distinct word. Words come in order, so nodes are made and given their state depth first."""
-        out, child = {}, self.child
-        plain, final = self.merges.plain, self.merges.final
+    def encode(self, words: Iterable[str]) -> None:
+        """Put the token ids of new distinct words into ``known``. Words come in order, so nodes are made and given their
+        state depth first."""
+        child, merges = self.child, self.merges
+        if len(merges.known) > NODES:
+            merges.known.clear()
         for word in sorted(words):
-            path = [0]
-            for depth in range(1, len(word)):
-                edge = (path[-1], word[depth - 1])
+            path, node = [0], 0
+            for depth, symbol in enumerate(word[:-1], 1):
+                edge = node << 21 | ord(symbol)
                 node = child.get(edge)
                 if node is None:
-                    token, before = self._state(word, depth, path, plain)
+                    token, before = self._state(word, depth, path, merges.plain, merges.plain_sizes)
                     node = child[edge] = len(self.last)
                     self.last.append(token)
                     self.back.append(before)
                 path.append(node)
-            token, node = self._state(word, len(word), path, final)
+            token, node = self._state(word, len(word), path, merges.final, merges.final_sizes)
             ids = [token]
             while node:
                 ids.append(self.last[node])
                 node = self.back[node]
-            out[word] = ids[::-1]
-        return out
+            self.known[word] = array("I", reversed(ids)).tobytes()
 
 
 class Codec:
@@ -153,7 +166,7 @@ class Codec:
     def _forget(self) -> None:
         self.trie = Trie(self.merges)
         self.pieces: dict[bytes, int] = {}
-        self.flat, self.begins = array("I"), array("q", [0])
+        self.flat, self.begins = bytearray(), array("q", [0])
 
     def _words(self, pieces: list[str]) -> list[list[str]]:
         """Words of pieces without white space, as the library splits them."""
@@ -175,34 +188,36 @@ class Codec:
 
     def _learn(self, pieces: list[bytes]) -> None:
         """Remember the encodings of new pieces."""
-        words: dict[bytes, list[list[str] | int]] = {}
+        parts: list[list[str | int]] = []
         texts, places = [], []
         for piece in pieces:
             if piece.isalpha():
                 # ASCII letters only: nothing to normalize but capitals, and one word.
-                words[piece] = [[piece.lower().decode()]]
+                parts.append([piece.lower().decode()])
                 continue
-            parts = words[piece] = []
             text = piece.decode()
-            for part in self.cut.split(text) if self.cut else [text]:
-                if part in self.special:
-                    parts.append(self.special[part])
-                for sub in filter(None, SPACE.split(part)) if part not in self.special else ():
-                    texts.append(sub)
-                    places.append((piece, len(parts)))
-                    parts.append([])
-        for (piece, k), found in zip(places, self._words(texts), strict=True):
-            words[piece][k] = found
-        codes = self.trie.encode(list({w for parts in words.values() for part in parts if not isinstance(part, int) for w in part}))
-        for piece in pieces:
-            for part in words[piece]:
-                if isinstance(part, int):
-                    self.flat.append(part)
-                else:
-                    for w in part:
-                        self.flat.extend(codes[w])
+            if self.cut is not None and self.cut.search(text):
+                mixed: list[str | int] = []
+                for part in self.cut.split(text):
+                    if part in self.special:
+                        mixed.append(self.special[part])
+                    else:
+                        mixed += [w for ws in self._words(list(filter(None, SPACE.split(part)))) for w in ws]
+                parts.append(mixed)
+                continue
+            subs = [text] if text.isascii() else list(filter(None, SPACE.split(text)))
+            texts += subs
+            places += [len(parts)] * len(subs)
+            parts.append([])
+        for k, words in zip(places, self._words(texts), strict=True):
+            parts[k] += words
+        known = self.trie.known
+        self.trie.encode({w for part in parts for w in part if not isinstance(w, int) and w not in known})
+        for piece, part in zip(pieces, parts, strict=True):
+            for w in part:
+                self.flat += known[w] if not isinstance(w, int) else w.to_bytes(4, "little")
             self.pieces[piece] = len(self.begins) - 1
-            self.begins.append(len(self.flat))
+            self.begins.append(len(self.flat) // 4)
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts in a row, and where each text begins (with the end)."""
@@ -210,10 +225,10 @@ class Codec:
         n = np.array([len(s) for s in split], np.int64)
         coded = pa.array([p for s in split for p in s], pa.binary()).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.pieces) > PIECES or len(self.trie.last) > NODES or len(self.flat) > 8 * PIECES:
+        if len(self.pieces) > PIECES or len(self.trie.last) > NODES or len(self.flat) > 64 * PIECES:
             self._forget()
         self._learn([p for p in distinct if p not in self.pieces])
-        flat, begins = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32), np.array(self.begins)
+        flat, begins = np.frombuffer(self.flat, "<u4"), np.array(self.begins)
         which = np.array([self.pieces[p] for p in distinct], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if distinct else np.zeros(0, np.int64)
         sizes = begins[which + 1] - begins[which]
         ends = np.concatenate([[0], np.cumsum(sizes)])
