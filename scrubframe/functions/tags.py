@@ -7,14 +7,29 @@ from pyspark.sql import functions as F
 
 # Fixed value: SOP class prefix of secondary capture images.
 SECONDARY_CAPTURE_CLASS = "1.2.840.10008.5.1.4.1.1.7"
+#: Texts of numbers and truth values that count as nothing.
+ZERO = r"^-?0(?:\.0*)?(?:[eE][+-]?[0-9]+)?$|^false$"
 
 
 def tag_default(value: Column, default: str | int, keep_zero: bool = False) -> Column:
-    """The tag, or ``default`` when it is missing, empty or (unless ``keep_zero``) a numeric zero."""
+    """The tag, or ``default`` when it is missing, empty or (unless ``keep_zero``) a numeric zero or false.
+
+    The type of ``value`` tells numbers from texts, so the text ``0`` stays.
+    """
+    kind = F.typeof(value)
     text = value.cast("string")
     missing = text.isNull() | (text == "")
     if not keep_zero:
-        missing = missing | (text == "0")
+        missing = missing | ((kind != "string") & text.rlike(ZERO))
+    return F.when(missing, F.lit(str(default))).otherwise(text)
+
+
+def variant_default(value: Column, default: str | int, keep_zero: bool = False) -> Column:
+    """``tag_default`` of a VARIANT column, whose rows may hold numbers or texts."""
+    text = F.try_variant_get(value, "$", "string")
+    missing = text.isNull() | (text == "")
+    if not keep_zero:
+        missing = missing | ((F.schema_of_variant(value) != "STRING") & text.rlike(ZERO))
     return F.when(missing, F.lit(str(default))).otherwise(text)
 
 

@@ -95,17 +95,32 @@ def ner_enum_name(code: Column) -> Column:
     return _lookup(code, NER_NAMES, None)
 
 
-def pseudonymise_uid(uid: Column, salt: str = "", mode: str = "sha2") -> Column:
-    """Replace an identifier by a keyed hash.
+def decimal_digits(hexadecimal: Column) -> Column:
+    """Decimal digits of the first 30 hexadecimal digits: 120 bits, the most that a decimal of 38 digits holds."""
+    def half(start: int) -> Column:
+        return F.conv(F.substring(hexadecimal, start, 15), 16, 10).cast("decimal(19,0)")
 
-    ``sha2`` stays in the JVM and gives 64 hexadecimal digits; ``blake2s`` gives the decimal
-    digits of a 128-bit keyed hash, which fits the digits-and-dots identifier syntax.
+    return (half(1) * F.lit(1 << 60).cast("decimal(19,0)") + half(16)).cast("decimal(38,0)").cast("string")
+
+
+def pseudonymise_uid(uid: Column, salt: str, mode: str = "decimal") -> Column:
+    """Replace an identifier by a keyed hash; equal identifiers get equal ones, null stays null.
+
+    ``decimal`` gives the decimal digits of the first 120 bits of a salted SHA-256, which fits the digits-and-dots
+    identifier syntax; ``sha2`` gives all 64 hexadecimal digits. Both are column expressions and take a salt of any length.
+    ``blake2s`` gives the digits of a 128-bit keyed hash by Arrow batches, for archives treated that way before; its salt has
+    at most 8 bytes.
     """
-    if mode == "sha2":
-        return F.sha2(F.concat(F.lit(salt), uid), 256)
+    if not salt:
+        raise ValueError("an empty salt lets anyone repeat the hashes")
+    key = salt.encode()
+    if mode in ("sha2", "decimal"):
+        hashed = F.sha2(F.concat(F.lit(salt), uid), 256)
+        return hashed if mode == "sha2" else decimal_digits(hashed)
     if mode != "blake2s":
         raise ValueError(f"unknown mode {mode}")
-    key = salt.encode()
+    if len(key) > hashlib.blake2s.SALT_SIZE:
+        raise ValueError(f"a salt of this mode has at most {hashlib.blake2s.SALT_SIZE} bytes")
 
     @F.pandas_udf(T.StringType())
     def decimal_hash(values: pd.Series) -> pd.Series:

@@ -10,7 +10,7 @@ from scrubframe.functions.text import pseudonymise_uid
 ID_COLUMNS = ["study", "series", "sop"]
 
 
-def pseudonymise_ids(df: DataFrame, salt: str = "", mode: str = "sha2", path: str = "path") -> DataFrame:
+def pseudonymise_ids(df: DataFrame, salt: str, mode: str = "decimal", path: str = "path") -> DataFrame:
     """Hash the three identifier columns, and every path element that equals one of them.
 
     An element's extension is kept. The hash depends only on the identifier and the salt, so

@@ -59,27 +59,29 @@ def sensitivity(text: Column, engine: str = "allowlist") -> Column:
     return F.when(text == "", -1).when(found, 1).otherwise(0)
 
 
-def frame_text_summary(items: DataFrame, order: str = "ord", segment: int = 1000,
+def frame_text_summary(items: DataFrame, order: str = "ord", piece: int = 1000,
                        engine: str = "allowlist") -> DataFrame:
-    """Texts of each frame joined by blanks, with the detector's decision on the joined text.
+    """One row per frame: its texts joined by blanks, their number, and the detector's decision on the joined text.
 
-    A frame with more than ``segment`` items gives several rows, in order, so that no row or
-    task holds an unbounded text; the whole text is their concatenation. Only such frames are
-    numbered, by a range shuffle that splits them over tasks.
+    The items of large frames are numbered by a range shuffle that splits them over tasks, and joined in pieces of ``piece``
+    items first, so what meets in one task is the frame's text itself and not its rows. The size of a piece changes no result.
     """
-    few, many = split_hot_groups(items, FRAME_KEYS, segment)
-    first = few.select(*FRAME_KEYS, order, "ocrtext", F.lit(0).cast("bigint").alias("segment"))
+    few, many = split_hot_groups(items, FRAME_KEYS, piece)
+
+    def joined(rows: DataFrame, keys: list[str], by: str, text: Column, count: Column) -> DataFrame:
+        ordered = F.sort_array(F.collect_list(F.struct(F.col(by), text.alias("_text"))))
+        return rows.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda s: s["_text"]), "").alias("ocrtext"), count.alias("n_items"))
+
+    blank = F.concat(F.coalesce("ocrtext", F.lit("")), F.lit(" "))
+    rows = joined(few, FRAME_KEYS, order, blank, F.count(F.lit(1)))
     if many is not None:
         placed = with_group_position(many.select(*FRAME_KEYS, order, "ocrtext"), FRAME_KEYS, [order], "_pos")
-        number = F.floor((F.col("_pos") - 1) / segment).cast("bigint")
-        first = first.unionByName(placed.withColumn("segment", number).drop("_pos"))
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(order), F.col("ocrtext"))))
-    joined = F.array_join(F.transform(ordered, lambda s: F.concat(s["ocrtext"], F.lit(" "))), "")
-    rows = (first.groupBy(*FRAME_KEYS, "segment")
-            .agg(joined.alias("ocrtext"), F.count(F.lit(1)).alias("n_items")))
+        placed = placed.withColumn("_piece", F.floor((F.col("_pos") - 1) / piece).cast("bigint"))
+        pieces = joined(placed, [*FRAME_KEYS, "_piece"], "_pos", blank, F.count(F.lit(1)))
+        rows = rows.unionByName(joined(pieces, FRAME_KEYS, "_piece", F.col("ocrtext"), F.sum("n_items")))
     flag = sensitivity(F.col("ocrtext"), engine)
     null_box = [F.lit(-1).alias(c) for c in ("box_left", "box_top", "box_right", "box_bottom")]
-    return rows.select(*FRAME_KEYS, "segment", *null_box, "ocrtext", "n_items", flag.alias("nerpii"))
+    return rows.select(*FRAME_KEYS, *null_box, "ocrtext", "n_items", flag.alias("nerpii"))
 
 
 _DETECTORS: dict[str, Callable[[Column], Column]] = {}

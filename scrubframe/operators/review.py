@@ -111,9 +111,9 @@ def order_by_last_modified(df: DataFrame) -> DataFrame:
     return sorted_by(df, "last_modified")
 
 
-def limit_manifest(df: DataFrame, n: int = 10_000) -> DataFrame:
-    """Cap of a download list."""
-    return df.limit(n)
+def limit_manifest(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first ``n`` rows of a download list in a given order; each task keeps only its own first ``n``."""
+    return df.orderBy(*order, *[c for c in df.columns if c not in order]).limit(n)
 
 
 def label_frequency(labels: DataFrame, label: str = "Label") -> DataFrame:

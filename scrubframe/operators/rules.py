@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from scrubframe.functions import boxes as B
 from scrubframe.functions.boxes import BOX_COLUMNS, BOX_TYPE
 from scrubframe.operators.rects import rects_valid
-from scrubframe.session import reliable, sorted_by, split_hot_groups
+from scrubframe.session import sorted_by
 
 
 class Rule(NamedTuple):
@@ -148,35 +148,23 @@ def device_rect_sets(rects: DataFrame, review: DataFrame, tags: DataFrame) -> Da
         *DEVICE_KEYS, *BOX_COLUMNS).distinct()
 
 
-def rule_lines(sets: DataFrame, most: int = 4096) -> DataFrame:
-    """Rule text: (rule_key, chunk, part, line). A rule's lines follow each other when sorted by these columns.
-
-    A device with more than ``most`` boxes gets several rules with equal predicates, numbered
-    by a hash of the box, so that no rule is too large for one task.
-    """
-    text = F.concat_ws(",", *BOX_COLUMNS)
-    few, many = split_hot_groups(reliable(sets), DEVICE_KEYS, most)
-    chunked = few.withColumn("chunk", F.lit(0))
-    if many is not None:
-        bucket = F.conv(F.substring(F.md5(text), 1, 2), 16, 10).cast("int")
-        chunked = chunked.unionByName(many.withColumn("chunk", bucket + 1))
+def rule_lines(sets: DataFrame) -> DataFrame:
+    """Rule text: (rule_key, part, line). A rule's lines follow each other when sorted by these columns."""
     key = F.md5(F.concat_ws("|", *DEVICE_KEYS))
-    keyed = chunked.withColumn("rule_key", key)
-    device = keyed.select("rule_key", "chunk", *DEVICE_KEYS).distinct()
-    name = F.concat(F.lit("LABEL device "), F.col("rule_key"))
-    head = [F.when(F.col("chunk") == 0, name).otherwise(F.concat(name, F.lit(" part "), F.col("chunk"))),
-            F.concat(F.lit("  contains Modality "), F.col("modality"))]
+    keyed = sets.withColumn("rule_key", key)
+    device = keyed.select("rule_key", *DEVICE_KEYS).distinct()
+    head = [F.concat(F.lit("LABEL device "), F.col("rule_key")), F.concat(F.lit("  contains Modality "), F.col("modality"))]
     head += [F.when(F.col(c) != "", F.concat(F.lit(f"  + contains {n} "), F.col(c))) for c, n in RULE_TAG_NAMES.items()]
     head += [F.concat(F.lit("  + equals Rows "), F.col("n_rows")),
              F.concat(F.lit("  + equals Columns "), F.col("n_cols"))]
-    heads = device.select("rule_key", "chunk", F.posexplode(F.array(*head)).alias("part", "line"))
-    body = keyed.select("rule_key", "chunk", F.lit(len(head)).alias("part"),
-                        F.concat(F.lit("  coordinates "), text).alias("line"))
+    heads = device.select("rule_key", F.posexplode(F.array(*head)).alias("part", "line"))
+    body = keyed.select("rule_key", F.lit(len(head)).alias("part"), F.concat(F.lit("  coordinates "), F.concat_ws(",", *BOX_COLUMNS)).alias("line"))
     return heads.where("line is not null").unionByName(body)
 
 
 def snk_rules(sets: DataFrame, path: str) -> None:
-    """Write the rule text; a range shuffle keeps the lines of a rule together in one file, in order."""
-    lines = rule_lines(sets).repartitionByRange("rule_key", "chunk")
-    ordered = lines.sortWithinPartitions("rule_key", "chunk", "part", "line")
+    """Write the rule text in order over numbered files. The range shuffle cuts anywhere, so a rule with very many boxes goes on
+    in the next file; ``src_rules`` reads such files as one sequence."""
+    lines = rule_lines(sets).repartitionByRange("rule_key", "part", "line")
+    ordered = lines.sortWithinPartitions("rule_key", "part", "line")
     ordered.select("line").write.mode("overwrite").text(path)

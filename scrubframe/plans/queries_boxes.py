@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrubframe.functions import boxes as B
 from scrubframe.functions import text as X
 from scrubframe.functions.boxes import BOX_COLUMNS, box
-from scrubframe.operators import allowlist, pii, rects, rules
+from scrubframe.operators import allowlist, pii, rects, rule_index, rules
 from scrubframe.operators.rules import Rule
 from scrubframe.plans import detect
 from scrubframe.plans.catalog import query
 from scrubframe.plans.fixtures import Tables
-from scrubframe.sources import ocr
+from scrubframe.session import checkpoint_root, reliable
+from scrubframe.sources import files, ocr
 
 BOX = "box_left, box_top, box_right, box_bottom"
 FRAME = "filename, frame, overlay"
@@ -458,30 +461,75 @@ def _(t: Tables) -> DataFrame:
     return rules.device_rect_sets(t.fx_rects, t.fx_review, t.fx_tags)
 
 
-# Boxes of a device with their rule: devices with very many boxes are cut by a hash of the box.
-RULES = f"""(select *, md5(concat_ws('|', {_DEVICE})) as rule_key, case when count(*) over (partition by {_DEVICE}) > 4096
-  then 1 + cast(concat('0x', substr(md5(concat_ws(',', {BOX})), 1, 2)) as int) else 0 end as chunk from {_SETS})"""
+# Boxes of a device with the key of its rule.
+RULES = f"(select *, md5(concat_ws('|', {_DEVICE})) as rule_key from {_SETS})"
 
 
 @query("snk_rules", f"""
-with s as (select * from {RULES}), d as (select distinct rule_key, chunk, {_DEVICE} from s)
-select rule_key, chunk, 0 as part, concat('LABEL device ', rule_key, case when chunk > 0 then concat(' part ', chunk) else '' end) as line from d
-union all select rule_key, chunk, 1, concat('  contains Modality ', modality) from d
-union all select rule_key, chunk, 2, concat('  + contains Manufacturer ', manufacturer) from d where manufacturer <> ''
-union all select rule_key, chunk, 3, concat('  + contains ManufacturerModelName ', model) from d where model <> ''
-union all select rule_key, chunk, 4, concat('  + contains SecondaryCaptureDeviceManufacturer ', sc_manufacturer) from d where sc_manufacturer <> ''
-union all select rule_key, chunk, 5, concat('  + contains SecondaryCaptureDeviceManufacturerModelName ', sc_model) from d where sc_model <> ''
-union all select rule_key, chunk, 6, concat('  + contains SoftwareVersions ', software) from d where software <> ''
-union all select rule_key, chunk, 7, concat('  + equals Rows ', n_rows) from d
-union all select rule_key, chunk, 8, concat('  + equals Columns ', n_cols) from d
-union all select rule_key, chunk, 9, concat('  coordinates ', concat_ws(',', {BOX})) from s""")
-def _(t: Tables) -> DataFrame:
-    return rules.rule_lines(rules.device_rect_sets(t.fx_rects, t.fx_review, t.fx_tags))
+with s as (select * from {RULES}), d as (select distinct rule_key, {_DEVICE} from s), lines as (
+select concat('LABEL device ', rule_key) as line from d
+union all select concat('  contains Modality ', modality) from d
+union all select concat('  + contains Manufacturer ', manufacturer) from d where manufacturer <> ''
+union all select concat('  + contains ManufacturerModelName ', model) from d where model <> ''
+union all select concat('  + contains SecondaryCaptureDeviceManufacturer ', sc_manufacturer) from d where sc_manufacturer <> ''
+union all select concat('  + contains SecondaryCaptureDeviceManufacturerModelName ', sc_model) from d where sc_model <> ''
+union all select concat('  + contains SoftwareVersions ', software) from d where software <> ''
+union all select concat('  + equals Rows ', n_rows) from d
+union all select concat('  + equals Columns ', n_cols) from d
+union all select concat('  coordinates ', concat_ws(',', {BOX})) from s)
+select line, count(*) as n from lines group by 1""")
+def _(t: Tables) -> DataFrame:
+    """The lines as they stand in the written files."""
+    path = f"{checkpoint_root(t.spark)}/rules-{uuid.uuid4().hex}"
+    rules.snk_rules(rules.device_rect_sets(t.fx_rects, t.fx_review, t.fx_tags), path)
+    return t.spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_DEVICE_HITS = f"""devices as (select *, md5(concat_ws('|', {_DEVICE})) as rule_key from (select distinct {_DEVICE} from {_SETS})),
+combos as (select distinct {_DEVICE} from {{fx_tags}}),
+hits as (select {", ".join(f"c.{c.strip()}" for c in _DEVICE.split(","))}, d.rule_key from combos c join devices d on c.n_rows = d.n_rows and c.n_cols = d.n_cols
+  and contains(c.modality, d.modality) and contains(c.manufacturer, d.manufacturer) and contains(c.model, d.model)
+  and contains(c.sc_manufacturer, d.sc_manufacturer) and contains(c.sc_model, d.sc_model) and contains(c.software, d.software))"""
+DEVICE_COLUMNS = {"Modality": "modality", "Rows": "n_rows", "Columns": "n_cols", **{name: c for c, name in rules.RULE_TAG_NAMES.items()}}
+
+
+@query("match_rule_table", f"""
+with {_DEVICE_HITS}
+select filename, rule_key as rule_id, concat('device ', rule_key) as label from {{fx_tags}} join hits using ({_DEVICE})""")
+def _(t: Tables) -> DataFrame:
+    """The rules of all reviewed devices against all images."""
+    table = rule_index.device_rules(rules.device_rect_sets(t.fx_rects, t.fx_review, t.fx_tags))
+    return rule_index.match_rule_table(t.fx_tags, table, DEVICE_COLUMNS)
+
+
+@query("rule_table_boxes", f"""
+with {_DEVICE_HITS},
+sums as (select md5(concat_ws('|', {_DEVICE})) as rule_key, count(*) as n, sum(box_left + 3 * box_top + 5 * box_right + 7 * box_bottom) as s from {_SETS} group by 1)
+select filename, sum(n)::bigint as n_redact, sum(s)::bigint as places from {{fx_tags}} join hits using ({_DEVICE}) join sums using (rule_key) group by 1""")
+def _(t: Tables) -> DataFrame:
+    """The same rules through a rule file: written, read as a table and applied."""
+    path = f"{checkpoint_root(t.spark)}/rules-{uuid.uuid4().hex}"
+    rules.snk_rules(rules.device_rect_sets(t.fx_rects, t.fx_review, t.fx_tags), path)
+    table = files.src_rules(t.spark, path).withColumn("rule_id", F.struct("file", "rule_no")).select("rule_id", "label", "predicates", "boxes")
+    found = rule_index.rule_table_boxes(t.fx_tags, reliable(table), DEVICE_COLUMNS)
+    place = F.aggregate("redact", F.lit(0).cast("bigint"), lambda s, b: s + b["box_left"] + 3 * b["box_top"] + 5 * b["box_right"] + 7 * b["box_bottom"])
+    return found.select("filename", F.size("redact").cast("bigint").alias("n_redact"), place.alias("places"))
 
 
 # ---------------------------------------------------------------- allowlist and personal data
 
 
+@query("allowlist_rule_file", f"""
+with {safe_sql('{fx_texts}')}
+select ocrtext, ocrtext in (select t from safe_text) as safe, count(*) as n from {{fx_texts}} group by 1""")
+def _(t: Tables) -> DataFrame:
+    """The rule list written as a file, read back as a table and matched."""
+    path = f"{checkpoint_root(t.spark)}/allowlist-{uuid.uuid4().hex}"
+    t.spark.createDataFrame([(p,) for p in allowlist.build_view_rules()], "value string").write.text(path)
+    judged = allowlist.match_rule_list(t.fx_texts.select("ocrtext"), allowlist.src_allowlist(t.spark, path))
+    return judged.groupBy("ocrtext", "safe").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("allowlist_match", f"""
 with {safe_sql('{fx_texts}')}
 select ocrtext, safe, count(*) as n from (select ocrtext, ocrtext in (select t from safe_text) as safe from {{fx_texts}}) group by 1, 2""")
@@ -559,15 +607,14 @@ def _(t: Tables) -> DataFrame:
     return pii.pii_flag(texts, pii.entity_label_map(t.fx_entities), "flair")
 
 
-_SEGMENTS = """(select filename, frame, overlay, segment, concat(string_agg(ocrtext, ' ' order by ord), ' ') as ocrtext, count(*) as n_items
-  from (select *, (row_number() over (partition by filename, frame, overlay order by ord) - 1) // 1000 as segment from {fx_rects}
-    where box_left <> -1 and conf > cast(0.4 as double) and length(ocrtext) >= 2) group by 1, 2, 3, 4)"""
+_JOINED = """(select filename, frame, overlay, concat(string_agg(ocrtext, ' ' order by ord), ' ') as ocrtext, count(*) as n_items
+  from {fx_rects} where box_left <> -1 and conf > cast(0.4 as double) and length(ocrtext) >= 2 group by 1, 2, 3)"""
 
 
 @query("frame_text_summary", f"""
-with {safe_sql(_SEGMENTS)}
-select filename, frame, overlay, segment, -1 as box_left, -1 as box_top, -1 as box_right, -1 as box_bottom, ocrtext, n_items,
-  case when ocrtext in (select t from safe_text) then 0 else 1 end as nerpii from {_SEGMENTS}""")
+with {safe_sql(_JOINED)}
+select filename, frame, overlay, -1 as box_left, -1 as box_top, -1 as box_right, -1 as box_bottom, ocrtext, n_items,
+  case when ocrtext in (select t from safe_text) then 0 else 1 end as nerpii from {_JOINED}""")
 def _(t: Tables) -> DataFrame:
     return pii.frame_text_summary(rects.confidence_filter(rects.rects_valid(t.fx_rects)))
 

@@ -94,9 +94,9 @@ def _(t: Tables) -> DataFrame:
     return review.order_by_last_modified(t.fx_review.select("filename", "last_modified"))
 
 
-@query("limit_manifest", "select least(count(*), 10000) as n from {fx_tags}")
+@query("limit_manifest", "select filename, path from {fx_tags} order by path, filename limit 1000")
 def _(t: Tables) -> DataFrame:
-    return review.limit_manifest(t.fx_tags.select("filename")).agg(F.count(F.lit(1)).alias("n"))
+    return review.limit_manifest(t.fx_tags.select("filename", "path"), 1000, ["path", "filename"])
 
 
 @query("label_frequency", """
@@ -147,10 +147,17 @@ def _(t: Tables) -> DataFrame:
     return incremental.redact_all_known(t.fx_rects, t.fx_review.where("mark"))
 
 
-@query("stream_new_files", "select concat('img', o_orderkey) as filename, o_custkey as device_no from {orders}")
+@query("stream_new_files", """
+with arrived as (select concat('img', l_orderkey) as filename, l_linenumber as ord, case when l_orderkey % 3 < 2 and l_linenumber % 2 = 0 then 1 else 2 end as run from {lineitem})
+select filename, ord, run from arrived a where run = 1 or filename not in (select filename from arrived where run = 1)""")
 def _(t: Tables) -> DataFrame:
+    """Two runs over a folder of many files, one file a batch; the rows of an image lie in several of them."""
     root = f"{checkpoint_root(t.spark)}/stream-{uuid.uuid4().hex}"
-    landing = new_files.read_landing(t.spark, t.orders.schema, f"{t.folder}/orders.parquet*")
-    arrived = landing.select(F.concat(F.lit("img"), "o_orderkey").alias("filename"), F.col("o_custkey").alias("device_no"))
-    new_files.stream_new_files(arrived, f"{root}/out", f"{root}/log").awaitTermination()
-    return new_files.read_stored(t.spark, f"{root}/out")
+    first = (F.col("l_orderkey") % 3 < 2) & (F.col("l_linenumber") % 2 == 0)
+    arrived = t.lineitem.select(F.concat(F.lit("img"), "l_orderkey").alias("filename"), F.col("l_linenumber").alias("ord"),
+                                F.when(first, 1).otherwise(2).alias("run"))
+    for run in (1, 2):
+        arrived.where(F.col("run") == run).repartition(4).write.mode("append").parquet(f"{root}/landing")
+        stream = new_files.read_landing(t.spark, arrived.schema, f"{root}/landing", max_files=1)
+        new_files.stream_new_files(stream.withColumnRenamed("run", "came"), f"{root}/out", f"{root}/log", run)
+    return new_files.read_stored(t.spark, f"{root}/out").withColumnRenamed("came", "run")

@@ -94,10 +94,10 @@ def _(t: Tables) -> DataFrame:
 
 @query("src_rules", f"""
 with s as (select * from {RULES})
-select concat('device ', rule_key, case when chunk > 0 then concat(' part ', chunk) else '' end) as label,
+select concat('device ', rule_key) as label,
   3 + cast(max((manufacturer <> '')::int + (model <> '')::int + (sc_manufacturer <> '')::int
   + (sc_model <> '')::int + (software <> '')::int) as int) as n_predicates, cast(count(*) as int) as n_boxes,
-  string_agg(concat_ws(',', {BOX}), ';' order by concat_ws(',', {BOX})) as boxes from s group by rule_key, chunk""")
+  string_agg(concat_ws(',', {BOX}), ';' order by concat_ws(',', {BOX})) as boxes from s group by rule_key""")
 def _(t: Tables) -> DataFrame:
     path = scratch(t)
     rules.snk_rules(rules.device_rect_sets(t.fx_rects, t.fx_review, t.fx_tags), path)

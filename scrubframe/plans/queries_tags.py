@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubframe.functions import tags as G
@@ -10,6 +12,7 @@ from scrubframe.functions import text as X
 from scrubframe.operators import classify, identify, numbering, profile, sample
 from scrubframe.plans.catalog import query
 from scrubframe.plans.fixtures import Tables
+from scrubframe.session import checkpoint_root
 from scrubframe.sources import files, ocr
 from scrubframe.sources import tags as src
 
@@ -43,11 +46,12 @@ COMBINATION = "concat(model_name, ',', image_type_2, ',', burned_in, ',')"
 @query("tag_default", """
 select filename, case when manufacturer = '' then 'NoMaker' else manufacturer end as maker,
   case when device_no % 3 = 0 then '9' else cast(device_no % 3 as varchar) end as falsy,
-  cast(device_no % 3 as varchar) as kept from {fx_tags}""")
+  cast(device_no % 3 as varchar) as kept, cast(device_no % 3 as varchar) as text_stays from {fx_tags}""")
 def _(t: Tables) -> DataFrame:
     n = F.col("device_no") % 3
     return t.fx_tags.select("filename", G.tag_default(F.col("manufacturer"), "NoMaker").alias("maker"),
-                            G.tag_default(n, 9).alias("falsy"), G.tag_default(n, 9, keep_zero=True).alias("kept"))
+                            G.tag_default(n, 9).alias("falsy"), G.tag_default(n, 9, keep_zero=True).alias("kept"),
+                            G.tag_default(n.cast("string"), 9).alias("text_stays"))
 
 
 @query("imagetype_summary", f"select filename, {SUMMARY} as summary from {{fx_tags}}")
@@ -90,28 +94,46 @@ def _(t: Tables) -> DataFrame:
     return src.tag_overview(t.fx_tags)
 
 
+HELD = {"Modality": "modality", "BurnedInAnnotation": "burned_in", "Manufacturer": "manufacturer",
+        "ManufacturerModelName": "model", "SoftwareVersions": "software",
+        "SecondaryCaptureDeviceManufacturer": "sc_manufacturer",
+        "SecondaryCaptureDeviceManufacturerModelName": "sc_model", "Rows": "n_rows", "Columns": "n_cols",
+        "NumberOfFrames": "n_frames", "(6000,0040)-OverlayType": "overlay_type", "SOPClassUID": "sop_class"}
+
+
 def tag_documents(t: Tables) -> DataFrame:
     """Nested documents as a document store would hold them."""
-    held = {"Modality": "modality", "BurnedInAnnotation": "burned_in", "Manufacturer": "manufacturer",
-            "ManufacturerModelName": "model", "SoftwareVersions": "software",
-            "SecondaryCaptureDeviceManufacturer": "sc_manufacturer",
-            "SecondaryCaptureDeviceManufacturerModelName": "sc_model", "Rows": "n_rows", "Columns": "n_cols",
-            "NumberOfFrames": "n_frames", "(6000,0040)-OverlayType": "overlay_type", "SOPClassUID": "sop_class"}
     columns = [F.struct(F.col("path").alias("DicomFilePath")).alias("header"), F.col("image_type").alias("ImageType")]
     for field in src.DOCUMENT_SCHEMA.fieldNames()[2:]:
-        value = F.col(held[field]).cast("string") if field in held else F.lit(None).cast("string")
+        value = F.col(HELD[field]).cast("string") if field in HELD else F.lit(None).cast("string")
         columns.append(value.alias(field))
     return t.fx_tags.select(*columns)
 
 
 @query("src_tags", f"""
-select modality as Modality, path as DicomFilePath, burned_in as BurnedInAnnotation, 'NORVFTAG' as RecognizableVisualFeatures,
+with docs as (
+  select *, case when image_no % 11 = 0 then 'MR' when image_no % 10 > 0 then modality end as tag, n_frames - 1 as number,
+    case when modality in ('CT', 'MR', 'XA') then modality else 'OTHER' end as collection from {{fx_tags}})
+select coalesce(tag, collection) as Modality, path as DicomFilePath, burned_in as BurnedInAnnotation, 'NORVFTAG' as RecognizableVisualFeatures,
   manufacturer as Manufacturer, {MODEL} as ModelName,
   case when {SUMMARY} <> '' then {SUMMARY} when {SECONDARY} then 'DERIVED/SECONDARY' else '' end as ImageType2,
-  image_type as ImageType, cast(n_rows as varchar) as Rows_, cast(n_frames as varchar) as NumberOfFrames,
-  overlay_type as OverlayType from {{fx_tags}}""")
-def _(t: Tables) -> DataFrame:
-    flat = src.flatten_documents(tag_documents(t)).withColumnRenamed("Rows", "Rows_")
+  image_type as ImageType, cast(n_rows as varchar) as Rows_,
+  case when number = 0 and image_no % 4 < 2 then '1' else cast(number as varchar) end as NumberOfFrames,
+  overlay_type as OverlayType from docs where collection = 'CT' or (collection = 'OTHER' and tag = 'US')""")
+def _(t: Tables) -> DataFrame:
+    """Documents in folders, one per collection: some without a modality, numbers of frames partly as texts."""
+    path = f"{checkpoint_root(t.spark)}/documents-{uuid.uuid4().hex}"
+    number, tag = F.col("n_frames") - 1, F.when(F.col("image_no") % 11 == 0, "MR").when(F.col("image_no") % 10 > 0, F.col("modality"))
+    held = [F.struct(F.col("path").alias("DicomFilePath")).alias("header"), F.col("image_type").alias("ImageType"), tag.alias("Modality"),
+            *(F.col(c).alias(name) for name, c in HELD.items() if name not in ("Modality", "NumberOfFrames"))]
+
+    def document(frames: Column) -> Column:
+        return F.to_json(F.struct(*held, frames.alias("NumberOfFrames")))
+
+    lines = F.when(F.col("image_no") % 4 < 2, document(number)).otherwise(document(number.cast("string")))
+    collection = F.when(F.col("modality").isin("CT", "MR", "XA"), F.col("modality")).otherwise(src.OTHER)
+    t.fx_tags.select(lines.alias("value"), collection.alias("collection")).write.partitionBy("collection").text(path)
+    flat = src.flatten_documents(src.src_tags(t.spark, path, ["CT", "US"])).withColumnRenamed("Rows", "Rows_")
     return flat.select("Modality", "DicomFilePath", "BurnedInAnnotation", "RecognizableVisualFeatures", "Manufacturer",
                        "ModelName", "ImageType2", "ImageType", "Rows_", "NumberOfFrames", "OverlayType")
 
@@ -494,20 +516,25 @@ def _(t: Tables) -> DataFrame:
 
 @query("pseudonymise_uid", "select filename, sha256(concat('salt', sop)) as uid from {fx_tags}")
 def _(t: Tables) -> DataFrame:
-    return t.fx_tags.select("filename", X.pseudonymise_uid(F.col("sop"), "salt").alias("uid"))
+    return t.fx_tags.select("filename", X.pseudonymise_uid(F.col("sop"), "salt", "sha2").alias("uid"))
 
 
-@query("pseudonymise_ids", """
-select filename, sha256(concat('k', study)) as study, sha256(concat('k', series)) as series, sha256(concat('k', sop)) as sop,
-  concat('/data/', sha256(concat('k', study)), '/', sha256(concat('k', series)), '/', sha256(concat('k', sop)), '.dcm') as path
-from {fx_tags}""")
+def _decimal(text: str) -> str:
+    return f"cast(cast(concat('0x', substr(sha256({text}), 1, 30)) as uhugeint) as varchar)"
+
+
+@query("pseudonymise_ids", f"""
+select filename, {_decimal("concat('a longer secret', study)")} as study, {_decimal("concat('a longer secret', series)")} as series,
+  {_decimal("concat('a longer secret', sop)")} as sop, concat('/data/', {_decimal("concat('a longer secret', study)")}, '/',
+  {_decimal("concat('a longer secret', series)")}, '/', {_decimal("concat('a longer secret', sop)")}, '.dcm') as path
+from {{fx_tags}}""")
 def _(t: Tables) -> DataFrame:
-    return identify.pseudonymise_ids(t.fx_tags.select("filename", "study", "series", "sop", "path"), "k")
+    return identify.pseudonymise_ids(t.fx_tags.select("filename", "study", "series", "sop", "path"), "a longer secret")
 
 
-@query("pseudonymise_uid_decimal")
+@query("pseudonymise_uid_decimal", f"""select filename, {_decimal("concat('salt', sop)")} as uid from {{fx_tags}}""")
 def _(t: Tables) -> DataFrame:
-    return t.fx_tags.select("filename", X.pseudonymise_uid(F.col("sop"), "salt", "blake2s").alias("uid"))
+    return t.fx_tags.select("filename", X.pseudonymise_uid(F.col("sop"), "salt").alias("uid"))
 
 
 @query("drop_repeated_headers", "select key from {fx_keys}")

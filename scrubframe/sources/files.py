@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrubframe.operators.rules import Rule
@@ -39,8 +39,8 @@ def find_path(tags: DataFrame, name: str, order: tuple[str, ...] = ("DX", "CR"))
 
 
 def series_manifest(csv: DataFrame | None, studies: list[str] | None = None, series: list[str] | None = None,
-                    cap: int = 10_000, spark: SparkSession | None = None) -> DataFrame:
-    """Study/series prefixes to load, at most ``cap`` (the size limit of one manual load).
+                    cap: int | None = None, spark: SparkSession | None = None) -> DataFrame:
+    """Study/series prefixes to load; with ``cap`` (the size limit of one manual load) the first so many in order.
 
     Equally many studies and series are paired; studies or series alone are looked up in the
     table; without either the whole table is used.
@@ -49,16 +49,17 @@ def series_manifest(csv: DataFrame | None, studies: list[str] | None = None, ser
     if studies and series and len(studies) == len(series):
         session = spark or csv.sparkSession
         pairs = session.createDataFrame(list(zip(studies, series)), "study string, series string")
-        return pairs.select(F.concat("study", F.lit("/"), "series").alias("prefix")).distinct()
-    if csv is None:
-        session = spark
-        return session.createDataFrame([(f"{s}/",) for s in studies or []], "prefix string").distinct()
-    rows = csv
-    if series:
-        rows = series_lookup(csv, series)
-    elif studies:
-        rows = csv.where(F.col("study").isin(*studies))
-    return rows.select(prefix.alias("prefix")).distinct().orderBy("prefix").limit(cap)
+        found = pairs.select(F.concat("study", F.lit("/"), "series").alias("prefix"))
+    elif csv is None:
+        found = spark.createDataFrame([(f"{s}/",) for s in studies or []], "prefix string")
+    else:
+        rows = csv
+        if series:
+            rows = series_lookup(csv, series)
+        elif studies:
+            rows = csv.where(F.col("study").isin(*studies))
+        found = rows.select(prefix.alias("prefix"))
+    return found.distinct() if cap is None else found.distinct().orderBy("prefix").limit(cap)
 
 
 def series_lookup(csv: DataFrame, series: list[str] | DataFrame) -> DataFrame:
@@ -79,18 +80,33 @@ def list_series_objects(keys: DataFrame, key: str = "key") -> DataFrame:
         F.get(parts, F.lit(2)).alias("sop"))
 
 
-def list_objects_capped(keys: DataFrame, n: int = 200, key: str = "key") -> DataFrame:
+def list_objects_capped(keys: DataFrame, n: int, key: str = "key") -> DataFrame:
     """First ``n`` keys in order; each task keeps only its own first ``n``."""
     return keys.select(key).orderBy(key).limit(n)
 
 
 def src_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Recipe files: (file, rule_no, label, predicates, boxes). A file is one small document."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    blocks = files.select("file", F.posexplode(F.split("value", r"(?m)^LABEL[ \t]+")).alias("rule_no", "_b"))
+    """Rules of recipe files: (file, rule_no, label, predicates, boxes); ``rule_no`` rises in the order of the text.
+
+    Read rule by rule, never as whole files. What stands before the first rule of a file goes on with the last rule of an
+    earlier file, as ``snk_rules`` writes it; remarks and unknown lines there have no effect.
+    """
+    records = spark.read.option("lineSep", "\nLABEL ").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), "value")
+    place = F.struct("file", "_at", "_id")
+    first = F.col("value").rlike(r"^\s*LABEL[ \t]+")
+    records = records.withColumn("_begins", F.min(place).over(Window.partitionBy("file")) == place).withColumn("_place", place)
+    blocks = records.withColumn("_tail", F.col("_begins") & ~first).withColumn("_b", F.regexp_replace("value", r"^\s*LABEL[ \t]+", ""))
+    # One row per file: its last rule, and what it begins with.
+    per_file = blocks.groupBy("file").agg(F.max(F.when(~F.col("_tail"), F.col("_place"))).alias("_last"), F.max(F.when(F.col("_tail"), F.col("_b"))).alias("_more"))
+    before = F.last("_last", True).over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    tails = per_file.withColumn("_place", before).where("_more is not null and _place is not null")
+    tails = tails.groupBy("_place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "_more"))), lambda s: s["_more"]), "\n").alias("_more"))
+    rules = blocks.where("not _tail").join(tails, "_place", "left")
+    whole = rules.select("file", F.col("_id").alias("rule_no"), F.concat_ws("\n", "_b", "_more").alias("_b"))
     lines = F.filter(F.transform(F.split("_b", "\n"), lambda s: F.trim(F.regexp_replace(s, r"#.*$", ""))),
                      lambda s: s != "")
-    rows = blocks.where("rule_no > 0").withColumn("_l", lines)
+    rows = whole.withColumn("_l", lines)
     bare = F.transform(F.slice("_l", 2, F.greatest(F.size("_l"), F.lit(1))), lambda s: F.regexp_replace(s, r"^\+\s*", ""))
 
     def word(s: Column, i: int) -> Column:

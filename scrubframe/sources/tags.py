@@ -50,10 +50,27 @@ DOCUMENT_SCHEMA = T.StructType(
     + [T.StructField(tag, T.StringType()) for tag in DOCUMENT_TAGS])
 
 
+#: The same as read from JSON: tags keep the type they have in each document, so the number 0 and the text ``0`` differ.
+READ_SCHEMA = T.StructType(
+    [*DOCUMENT_SCHEMA.fields[:2]] + [T.StructField(tag, T.VariantType()) for tag in DOCUMENT_TAGS]
+    + [T.StructField("collection", T.StringType())])
+OTHER = "OTHER"
+
+
 def src_tags(spark: SparkSession, path: str, modalities: list[str] | None = None) -> DataFrame:
-    """Tag documents from JSON lines; a path partitioned by ``Modality`` is pruned by the filter."""
-    docs = spark.read.schema(DOCUMENT_SCHEMA).json(path)
-    return docs.where(F.col("Modality").isin(*modalities)) if modalities else docs
+    """Tag documents from JSON lines, in one folder or in folders ``collection=<name>``.
+
+    A collection is named by the modality it holds, ``OTHER`` holds all that have none of their own. ``modalities`` takes a
+    collection of that name whole, whatever its documents say, and of ``OTHER`` and of documents without a collection those
+    that say so themselves. Unread collections are pruned. A document without a modality has that of its collection.
+    """
+    docs = spark.read.schema(READ_SCHEMA).json(path)
+    own = G.variant_default(_tag("Modality"), "")
+    mixed = F.col("collection").isNull() | (F.col("collection") == OTHER)
+    if modalities:
+        docs = docs.where(F.coalesce(F.col("collection").isin(*modalities), F.lit(False)) | (mixed & own.isin(*modalities)))
+    named = F.when(own != "", own).when(~mixed, F.col("collection"))
+    return docs.withColumn("Modality", named).drop("collection")
 
 
 def _tag(name: str) -> Column:
@@ -61,14 +78,21 @@ def _tag(name: str) -> Column:
 
 
 def flatten_documents(docs: DataFrame, keep_zero: bool = False) -> DataFrame:
-    """The flat tag table: text columns, missing tags replaced by their defaults."""
-    d = {name: G.tag_default(_tag(tag), default, keep_zero) for name, tag, default in FLAT_COLUMNS if tag}
+    """The flat tag table: text columns, missing tags replaced by their defaults. Tags are texts or VARIANT values."""
+    typed = {f.name for f in docs.schema.fields if isinstance(f.dataType, T.VariantType)}
+
+    def default_of(tag: str, default: str) -> Column:
+        return (G.variant_default if tag in typed else G.tag_default)(_tag(tag), default, keep_zero)
+
+    def text_of(tag: str) -> Column:
+        return F.try_variant_get(_tag(tag), "$", "string") if tag in typed else _tag(tag)
+
+    d = {name: default_of(tag, default) for name, tag, default in FLAT_COLUMNS if tag}
     text = F.coalesce("ImageType", F.lit(""))
     listed = text.startswith("[")
     parts = F.when(listed, F.from_json(text, "array<string>")).otherwise(G.imagetype_parts(text))
-    secondary = G.is_secondary_capture(F.col("SOPClassUID"), _tag("SecondaryCaptureDeviceManufacturer"),
-                                       _tag("SecondaryCaptureDeviceManufacturerModelName"),
-                                       F.col("DateOfSecondaryCapture"))
+    secondary = G.is_secondary_capture(*map(text_of, ("SOPClassUID", "SecondaryCaptureDeviceManufacturer",
+                                                      "SecondaryCaptureDeviceManufacturerModelName", "DateOfSecondaryCapture")))
     d["DicomFilePath"] = F.col("header.DicomFilePath")
     d["ModelName"] = G.derived_model_name(
         d["Manufacturer"], d["ManufacturerModelName"], d["SecondaryCaptureDeviceManufacturer"],

@@ -94,9 +94,10 @@ def test_detector_decisions(spark):
         assert [r.s for r in df.select(pii.sensitivity(F.col("t"), engine).alias("s")).collect()] == want
 
 
-def test_frame_text_segments(spark):
+def test_one_text_per_frame(spark):
     items = spark.createDataFrame([("f", 0, -1, i, f"w{i}") for i in range(25)] + [("g", 0, -1, 1, "ERECT")],
                                   "filename string, frame int, overlay int, ord int, ocrtext string")
-    rows = pii.frame_text_summary(items, segment=10).orderBy("filename", "segment").collect()
-    assert [(r.filename, r.segment, r.n_items) for r in rows] == [("f", 0, 10), ("f", 1, 10), ("f", 2, 5), ("g", 0, 1)]
-    assert "".join(r.ocrtext for r in rows[:3]) == "".join(f"w{i} " for i in range(25))
+    for piece in (10, 1000):
+        rows = pii.frame_text_summary(items, piece=piece).orderBy("filename").collect()
+        assert [(r.filename, r.n_items) for r in rows] == [("f", 25), ("g", 1)]
+        assert rows[0].ocrtext == "".join(f"w{i} " for i in range(25))

@@ -17,7 +17,7 @@ from tools.check_oracle import compare
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 # Queries whose text or pixel step needs Python; all others must stay in the JVM.
-PYTHON_STEPS = {"rect_similar", "fold_rects_coalesce", "detector_plugin", "pseudonymise_uid_decimal", "redact_frames", "redact_all",
+PYTHON_STEPS = {"rect_similar", "fold_rects_coalesce", "detector_plugin", "redact_frames", "redact_all",
                 "redact_highbit_overlay", "redact_overlay_frame", "redaction_report", "redact_frames_pixels"}
 
 
@@ -43,7 +43,7 @@ def test_query(spark, duck, name):
 
 def test_sql_covers_queries():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"fold_rects_coalesce", "pseudonymise_uid_decimal", "form_classifier"}
+    assert set(QUERIES) - set(SQL) == {"fold_rects_coalesce", "form_classifier"}
 
 
 def test_entry(spark):

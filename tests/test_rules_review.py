@@ -72,18 +72,20 @@ def test_rule_text_round_trip(spark, tmp_path):
                               ("contains", "SoftwareVersions", "v1"), ("equals", "Rows", "5"), ("equals", "Columns", "6"))
 
 
-def test_large_rules_are_cut(spark):
+def test_large_rules_cross_files(spark, tmp_path):
     rows = [("CT", 5, 6, "Mk", "Mod", "", "", "v1", i, 2, 300 + i, 4) for i in range(40)]
     rows += [("MR", 5, 6, "Mk", "", "", "", "", 1, 2, 3, 4)]
     sets = spark.createDataFrame(rows, "modality string, n_rows int, n_cols int, manufacturer string, model string, sc_manufacturer string,"
                                        "sc_model string, software string, box_left int, box_top int, box_right int, box_bottom int")
-    lines = rules.rule_lines(sets, most=10).collect()
-    assert sum(x.line.startswith("  coordinates") for x in lines) == 41
-    chunks = {(x.rule_key, x.chunk) for x in lines}
-    assert len({k for k, _ in chunks}) == 2 and len(chunks) > 3
-    for chunk in chunks:
-        mine = [x.line for x in sorted(lines) if (x.rule_key, x.chunk) == chunk]
-        assert mine[0].startswith("LABEL device") and mine[1].startswith("  contains Modality") and "coordinates" in mine[-1]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rules.snk_rules(sets, str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "out").glob("part-*"))) > 2
+    back = files.src_rules(spark, str(tmp_path / "out")).collect()
+    assert sorted(len(r.boxes) for r in back) == [1, 40] and len({r.label for r in back}) == 2
+    assert {b.coords for r in back if len(r.boxes) == 40 for b in r.boxes} == {f"{i},2,{300 + i},4" for i in range(40)}
 
 
 def suggestion_tables(spark):
@@ -173,15 +175,20 @@ def test_stream_skips_known_files(spark, tmp_path):
     landing, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
     schema = "filename string, ord int"
 
-    def arrive(rows):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landing)
+    def arrive(run, *batches):
+        for rows in batches:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landing)
         stream = new_files.read_landing(spark, spark.createDataFrame([], schema).schema, landing, max_files=1)
-        new_files.stream_new_files(stream, out, log).awaitTermination()
-        return sorted(map(tuple, new_files.read_stored(spark, out).collect()))
-
-    assert arrive([("a", 1), ("a", 2)]) == [("a", 1), ("a", 2)]
-    assert arrive([("a", 1), ("b", 1)]) == [("a", 1), ("a", 2), ("b", 1)]
-    assert arrive([("c", 1), ("b", 7)]) == [("a", 1), ("a", 2), ("b", 1), ("c", 1)]
+        new_files.stream_new_files(stream, out, log, run)
+        return sorted(map(tuple, new_files.read_stored(spark, out).fillna("-").collect()))
+
+    first = [("-", 5), ("a", 1), ("a", 2), ("a", 3)]
+    assert arrive(1, [("a", 1), ("a", 2)], [("a", 3), (None, 5)]) == first
+    # A run that is repeated under its number changes nothing; rows of known names stay out.
+    assert arrive(1) == first
+    second = sorted([*first, ("b", 1), ("b", 2)])
+    assert arrive(2, [("a", 1), ("b", 1)], [(None, 6)], [("b", 2)]) == second
+    assert arrive(3, [("c", 1), ("b", 7)]) == sorted([*second, ("c", 1)])
 
 
 def test_positions_with_ties_and_hot_groups(spark):

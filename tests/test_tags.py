@@ -51,7 +51,8 @@ def test_tag_default(spark):
     for value in (F.lit(None).cast("string"), F.lit(""), F.lit(0)):
         assert one(spark, G.tag_default(value, "D")) == "D"
     assert one(spark, G.tag_default(F.lit(0), "D", keep_zero=True)) == "0"
-    assert one(spark, G.tag_default(F.lit("v"), "D")) == "v"
+    assert one(spark, G.tag_default(F.lit("v"), "D")) == "v" and one(spark, G.tag_default(F.lit("0"), "D")) == "0"
+    assert one(spark, G.tag_default(F.lit(-0.0), "D")) == "D" and one(spark, G.tag_default(F.lit(10), "D")) == "10"
 
 
 def test_flatten_documents(spark, tmp_path):
@@ -69,6 +70,17 @@ def test_flatten_documents(spark, tmp_path):
     assert src.src_tags(spark, str(path), ["PX"]).count() == 1
 
 
+def test_collections_and_types(spark, tmp_path):
+    for name, lines in {"CT": ['{"Rows":0}', '{"Modality":"MR","Rows":"0"}', '{"Modality":"","Rows":512}'], "OTHER": ['{"Modality":"US"}', '{"Modality":"PX"}', '{}'],
+                        "MR": ['{"Modality":"CT"}']}.items():
+        (tmp_path / f"collection={name}").mkdir()
+        (tmp_path / f"collection={name}" / "a.json").write_text("\n".join(lines))
+    rows = src.flatten_documents(src.src_tags(spark, str(tmp_path), ["CT", "US"])).select("Modality", "Rows").collect()
+    assert sorted(map(tuple, rows)) == [("CT", ""), ("CT", "512"), ("MR", "0"), ("US", "")]
+    assert src.src_tags(spark, str(tmp_path)).count() == 7
+    assert "PartitionFilters: [(" in src.src_tags(spark, str(tmp_path), ["CT"])._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tag_table_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([("x", 1)], "a string, _id int")
     src.dump_tags_json(docs, str(tmp_path / "json"))
@@ -134,6 +146,15 @@ def test_pseudonyms(spark):
     df = spark.createDataFrame([("1.2", "1.2.3", "1.2.3.4", "/root/1.2/1.2.3/1.2.3.4.dcm")], "study string, series string, sop string, path string")
     row = identify.pseudonymise_ids(df, "pepper", "blake2s").first()
     assert row.path == f"/root/{row.study}/{row.series}/{row.sop}.dcm" and row.series == want
+    salt = "a salt of more than eight bytes"
+    ids = [*(f"1.2.{k}" for k in range(300)), None]
+    got = spark.createDataFrame([(k, v) for k, v in enumerate(ids)], "k int, v string").select("v", X.pseudonymise_uid(F.col("v"), salt).alias("h")).collect()
+    assert all(r.h == (None if r.v is None else str(int(hashlib.sha256((salt + r.v).encode()).hexdigest()[:30], 16))) for r in got)
+    for digits in ("0" * 30, "f" * 30, "0" * 15 + "de0b6b3a7640000", "0" * 29 + "1", "8" + "0" * 29):
+        assert one(spark, X.decimal_digits(F.lit(digits))) == str(int(digits, 16))
+    for bad in ((salt, "blake2s"), ("", "decimal")):
+        with pytest.raises(ValueError):
+            X.pseudonymise_uid(F.lit("1"), *bad)
 
 
 def test_form_labels(spark):
