@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -10,14 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 BUCKETS, CHUNKS = 1 << 20, 64
 _P = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,21 +28,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
-    global _POWERS
-    if _POWERS is None or len(_POWERS[0]) < n:
-        size = max(n, CHUNK)
-        up, down = np.full(size, _P, np.uint64), np.full(size, pow(_P, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _POWERS = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _POWERS
-
-
 def word_hashes(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end of every word (bytes other than ASCII white space) of UTF-8 text.
 
-    A word's hash is a polynomial of its bytes, from sums over all bytes of the text, then scrambled with its length.
+    Blocks of eight bytes are scrambled, each with its place in the word, and scrambled again; their sum is scrambled with the
+    word's length. Nothing in it is linear in the bytes, so words made of the same parts in another order do not meet.
     """
     raw = np.frombuffer(data, np.uint8)
     if lower:
@@ -49,9 +40,17 @@ def word_hashes(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray, np.nd
     solid = np.concatenate([[False], ~_SPACE[raw], [False]])
     edges = np.flatnonzero(solid[1:] != solid[:-1])
     first, end = edges[::2], edges[1::2]
-    up, down = _powers(len(raw) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:len(raw)], dtype=np.uint64)])
-    return mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), first, end
+    if not len(first):
+        return np.zeros(0, np.uint64), first, end
+    eight = np.ndarray((len(raw),), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]).tobytes(), 0, (1,))
+    blocks = (end - first + 7) // 8
+    begin = np.concatenate([[0], np.cumsum(blocks)[:-1]])
+    word = np.repeat(np.arange(len(first)), blocks)
+    number = np.arange(len(word)) - begin[word]
+    at = first[word] + 8 * number
+    over = (8 * np.maximum(8 - (end[word] - at), 0)).astype(np.uint64)
+    value = mix(eight[at] << over) ^ ((number + 1).astype(np.uint64) * np.uint64(_P))
+    return mix(np.add.reduceat(mix(value), begin) + (end - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), first, end
 
 
 def joined(texts: list[str | None]) -> tuple[bytes, np.ndarray]:
@@ -96,11 +95,8 @@ def shingles(texts: list[str | None], size: int, lower: bool = True) -> tuple[np
 
 
 def signatures(values: np.ndarray) -> tuple[int, int]:
-    """Two signed 64-bit numbers for a set of hashes."""
-    with np.errstate(over="ignore"):
-        a = mix(values + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64) + np.uint64(len(values))
-        b = mix(values ^ np.uint64(0xA24BAED4963EE407)).sum(dtype=np.uint64) + np.uint64(3 * len(values))
-    return tuple(int(x) for x in mix(np.array([a, b], np.uint64)).view(np.int64))
+    """Two signed 64-bit numbers for a sorted set of hashes: a BLAKE2 digest, which no two sets are known to share."""
+    return struct.unpack("<qq", hashlib.blake2b(np.ascontiguousarray(values).tobytes(), digest_size=16).digest())
 
 
 def commonness(docs: DataFrame, hashes: Callable[[list[str | None]], np.ndarray], buckets: int = BUCKETS) -> np.ndarray:

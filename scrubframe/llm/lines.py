@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrubframe.llm.common import join_counted, maybe_in, stored
-from scrubframe.llm.hashing import BUCKETS, chunks, commonness, joined, mix, word_hashes
+from scrubframe.llm.hashing import BUCKETS, chunks, commonness, joined, word_hashes
+from scrubframe.llm.pii import once
 
 PERCENT = 80
-LIST_ROWS, KEPT = 20_000, 4
+LIST_ROWS, KEPT, SHORT = 20_000, 4, 256
 KEY = ["doc_id", "th"]
 
 
@@ -50,6 +52,16 @@ def line_sets(texts: list[str | None], common: np.ndarray) -> tuple[np.ndarray,
     return dense, words, text, numbered - first_line[text], begins
 
 
+def digests(words: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two signed 64-bit numbers per set of tokens: the halves of a BLAKE2 digest of its sorted hashes."""
+    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    raw = np.lexsort((words, owner))
+    data, at = words[raw].tobytes(), (8 * begins).tolist()
+    found = b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(at, at[1:], strict=False)])
+    both = np.frombuffer(found, "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def similar(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * overlap >= percent * (a + b - overlap)
 
@@ -70,9 +82,7 @@ def describe(docs: DataFrame, common: np.ndarray, percent: int, list_rows: int)
                 n = np.diff(begins)
                 if not len(n):
                     continue
-                one = np.add.reduceat(mix(words + np.uint64(0x632BE59BD9B4E019)), begins[:-1])
-                two = np.add.reduceat(mix(words ^ np.uint64(0xA24BAED4963EE407)), begins[:-1])
-                a, b = (mix(x + n.astype(np.uint64)).view(np.int64) for x in (one, two))
+                a, b = digests(words, begins)
                 parity = np.bitwise_xor.reduceat(np.uint64(1) << (words >> np.uint64(58)), begins[:-1]).view(np.int64)
                 _, at = np.unique(a, return_index=True)
                 fresh = np.zeros(len(n), bool)
@@ -121,6 +131,33 @@ def candidates(rank: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: np.ndarra
     return np.concatenate([empty, *left]), np.concatenate([empty, *right]), np.unique(np.concatenate([empty, *more]))
 
 
+def candidates_of_short(cuts: np.ndarray, rank: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: np.ndarray, percent: int, kept: int,
+                        ask: np.ndarray | None, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``candidates`` of many short lists at once; list k holds the rows ``cuts[k]`` to ``cuts[k + 1]``."""
+    place = np.arange(len(rank)) - np.repeat(cuts[:-1], np.diff(cuts))
+    width = place if ask is None else np.where(ask, place, 0)
+    total = np.concatenate([[0], np.cumsum(width)])
+    low = 0
+    while low < len(rank):
+        high = max(low + 1, int(np.searchsorted(total, total[low] + most, "right")) - 1)
+        w = width[low:high]
+        y = np.repeat(np.arange(low, high), w)
+        x = y - place[y] + np.arange(len(y)) - np.repeat(total[low:high] - total[low], w)
+        both = n[y] + n[x]
+        need = -(-percent * both // (100 + percent))
+        good = (rank[x] < rank[y]) & (np.minimum(n[y] - pos[y], n[x] - pos[x]) >= need) & (100 * n[x] >= percent * n[y]) & (100 * n[y] >= percent * n[x])
+        x, y, slack = x[good], y[good], (both - 2 * need)[good]
+        good = np.bitwise_count((bits[y] ^ bits[x]).view(np.uint64)) <= slack
+        x, y = x[good], y[good]
+        more = rank[:0]
+        if kept:
+            number = np.arange(len(y)) - np.searchsorted(y, y)
+            more = np.unique(rank[y[number == kept]])
+            x, y = x[number < kept], y[number < kept]
+        yield rank[x], rank[y], more
+        low = high
+
+
 def pairs_of(postings: DataFrame, percent: int, kept: int, asked: bool = False) -> DataFrame:
     """Candidate pairs (x earlier, y later) of all lists; a row (null, y) says that y has more candidates than were kept."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,11 +165,16 @@ def pairs_of(postings: DataFrame, percent: int, kept: int, asked: bool = False)
 
         def lists(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             e, cell, rank, n, pos, bits, ask = columns
-            cuts = np.flatnonzero((e[1:] != e[:-1]) | (cell[1:] != cell[:-1])) + 1
+            cuts = np.concatenate([[0], np.flatnonzero((e[1:] != e[:-1]) | (cell[1:] != cell[:-1])) + 1, [len(e)]])
+            size = np.diff(cuts)
             found = []
-            for a, b in zip(np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [len(e)]]).tolist(), strict=True):
-                if b - a > 1:
-                    found.append(candidates(rank[a:b], n[a:b], pos[a:b], bits[a:b], percent, kept, ask[a:b] > 0 if asked else None))
+            for k in np.flatnonzero(size > SHORT).tolist():
+                a, b = int(cuts[k]), int(cuts[k + 1])
+                found.append(candidates(rank[a:b], n[a:b], pos[a:b], bits[a:b], percent, kept, ask[a:b] > 0 if asked else None))
+            short = (size > 1) & (size <= SHORT)
+            rows = np.repeat(short, size)
+            some = [c[rows] for c in (rank, n, pos, bits, ask)]
+            found += candidates_of_short(np.concatenate([[0], np.cumsum(size[short])]), *some[:4], percent, kept, some[4] > 0 if asked else None)
             if found:
                 pairs = np.unique(np.stack([np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])], axis=1), axis=0)
                 more = np.unique(np.concatenate([f[2] for f in found]))
@@ -179,8 +221,10 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     docs = maybe_in(docs, per_doc, KEY).where("_maybe").drop("_maybe")
     rows = docs.join(per_doc, [docs[k].eqNullSafe(per_doc[k]) for k in KEY]).select("lines", "text")
     # Rows that repeat a document give the same lines again; one of each is enough.
-    one = F.explode(F.transform("lines", lambda s: F.struct(s["rank"].alias("rank"), F.element_at(F.split("text", "\n", -1), (s["ln"] + 1).cast("int")).alias("line"))))
-    return rows.select(one.alias("s")).select("s.rank", "s.line").dropDuplicates(["rank"])
+    def wanted_of(parts: Column) -> Column:
+        return F.transform("lines", lambda s: F.struct(s["rank"].alias("rank"), F.element_at(parts, (s["ln"] + 1).cast("int")).alias("line")))
+
+    return rows.select(F.explode(once(F.split("text", "\n", -1), wanted_of)).alias("s")).select("s.rank", "s.line").dropDuplicates(["rank"])
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -220,7 +264,10 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, buckets: int = BUCKETS,
     similar_sets = stored(confirmed(pairs, texts, percent), "similar")
     open_ = stored(found.where("x is null").select(F.col("y").alias("rank")).join(similar_sets, "rank", "left_anti"), "open")
     if not open_.isEmpty():
-        rest = pairs_of(postings_of(sets, list_rows, open_), percent, 0, True).join(pairs, ["x", "y"], "left_anti")
+        # Only tokens that an open line asks for; the bit map keeps most other postings from moving.
+        asked = stored(sets.join(open_, "rank", "left_semi").select(F.explode("prefix").alias("e")).distinct(), "asked-tokens")
+        postings = maybe_in(postings_of(sets, list_rows, open_), asked, ["e"]).where("_maybe").drop("_maybe")
+        rest = pairs_of(postings, percent, 0, True).join(pairs, ["x", "y"], "left_anti")
         rest = stored(rest, "more-candidates")
         wanted = rest.select(F.col("x").alias("rank")).union(rest.select("y")).distinct()
         texts = stored(line_texts(docs, sets.select("rank", *KEY, "ln").join(wanted, "rank")), "line-texts")

@@ -291,6 +291,36 @@ def test_hashing_is_per_word():
     assert at.tolist() == [0, 2, 2, 3, 5] and (values[:2] == values[3:]).all() and len(set(values.tolist())) == 3
 
 
+def thue_morse(a, b, n=1024):
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+def test_words_of_equal_parts_stay_apart(spark):
+    x, y = thue_morse("a", "b"), thue_morse("b", "a")
+    assert hashing.word_hashes(f"{x} {y} {x[:512]} {y[:512]}".encode(), True)[0].size == len(set(hashing.word_hashes(f"{x} {y} {x[:512]} {y[:512]}".encode(), True)[0].tolist())) == 4
+    frame = spark.createDataFrame([(1, f"one two three {x}"), (2, f"one two three {y}"), (3, f"three two one {x}")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["removed"] for r in lines.deduplicated(frame).collect()}
+    assert got == {1: [], 2: [], 3: [0]}
+    frame = spark.createDataFrame([(1, f"a b c d {x}"), (2, f"a b c d {y}"), (3, f"a b c D {x}")], "doc_id bigint, text string")
+    assert {tuple(r) for r in jaccard.near_duplicates(frame).collect()} == {(1, 1, 1), (2, 1, 2), (3, 1, 1)}
+
+
+def test_hashes_depend_on_the_word_alone():
+    words = ["a", "ab", "abcdefgh", "abcdefghi", "ABCDEFGHI", "é" * 9, "x" * 100, "bcdefgh", "a\u00a0b"]
+    alone = [hashing.word_hashes(w.encode(), True)[0].tolist() for w in words]
+    assert [h for hs in alone for h in hs] == hashing.word_hashes((" \n".join(words) + "\t").encode(), True)[0].tolist()
+    assert alone[3] == alone[4] and len({h[0] for h in alone}) == len(words) - 1 and len(hashing.word_hashes(b" \n", True)[0]) == 0
+
+
+def test_many_lines_of_one_document(spark):
+    import time
+    text = "\n".join(f"line number {k % 20_000} has words w{k % 20_000} of v{k % 20_000} its own" for k in range(50_000))
+    start = time.perf_counter()
+    row = lines.deduplicated(spark.createDataFrame([(1, text, 5, "x")], "doc_id bigint, text string, n_lines int, removed string")).first()
+    assert row["n_lines"] == 50_000 and row["removed"] == list(range(20_000, 50_000))
+    assert time.perf_counter() - start < 120
+
+
 def test_hot_join_and_prefilter(spark):
     left = spark.createDataFrame([(k % 700 if k % 3 else 0, k) for k in range(3000)], "key bigint, v bigint")
     right = left.where("key < 500").groupBy("key").agg(F.count("*").alias("n"))
