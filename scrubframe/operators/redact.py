@@ -22,6 +22,17 @@ from scrubframe.session import only_wanted, split_hot_groups
 MARKS = ["mark_x", "mark_y", "mark_d"]
 
 
+def store_frames(frames: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Write frames as a table in ``buckets`` buckets by frame, and read it.
+
+    Redaction joins on the same keys, so only the marks move to the buckets and the pixels stay where they are; frames of one
+    file lie in many buckets. Choose the number so that a bucket fits a task. ``path`` is a shared folder, or the warehouse.
+    """
+    writer = frames.write.mode("overwrite").bucketBy(buckets, *FRAME_KEYS).sortBy(*FRAME_KEYS)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return frames.sparkSession.table(table)
+
+
 def collect_box_sources(**sources: DataFrame) -> DataFrame:
     """Union of boxes from several sources, with the source's name in ``source``."""
     keep = [*FRAME_KEYS, *BOX_COLUMNS]
@@ -156,23 +167,49 @@ def redact_overlay_frame(frames: DataFrame, rects: DataFrame) -> DataFrame:
     return done.unionByName(frames.where(F.col("overlay") < 0))
 
 
-def redact_highbit_overlay(frames: DataFrame, rects: DataFrame, overlay: int, bit: int) -> DataFrame:
-    """Clear one high bit inside the boxes of that overlay, on every single-sample image frame of the file."""
+def overlay_masks(overlays: DataFrame) -> DataFrame:
+    """Per file the bits that its overlays occupy in the image: (filename, high). ``overlays`` has filename, overlay and
+    bit_position; an overlay without a position stands alone and takes no bit."""
+    bit = P.overlay_bit(F.col("bit_position"))
+    return overlays.groupBy("filename").agg(F.bit_or(F.when(bit > 0, F.call_function("shiftleft", F.lit(1), bit)).otherwise(0)).alias("high"))
+
+
+def _with_masks(marks: DataFrame, overlays: DataFrame) -> DataFrame:
+    """Marks with their file's bits; marks are small beside the frames, which are not joined for it."""
+    return marks.join(overlay_masks(overlays), "filename", "left").withColumn("high", F.coalesce("high", F.lit(0)))
+
+
+def redact_highbit_overlay(frames: DataFrame, rects: DataFrame, overlay: int, bit: int | DataFrame) -> DataFrame:
+    """Clear an overlay's high bit inside its boxes, on every single-sample image frame of the file.
+
+    ``bit`` is one position for all files, or a table (filename, overlay, bit_position): files may keep the overlay in
+    different bits, and where it stands alone the image is left as it is.
+    """
     boxes = rects.where(F.col("overlay") == overlay).withColumn("frame", F.lit(-1)).withColumn("overlay", F.lit(-1))
     images = frames.where((F.col("overlay") == -1) & (F.col("samples") == 1))
-    done = _apply(images, frame_marks(boxes, images), F.lit(~(1 << bit)))
+    if isinstance(bit, DataFrame):
+        marks = _with_masks(frame_marks(boxes, images), bit.where(F.col("overlay") == overlay))
+        done = _apply(images, marks, F.bitwise_not(F.col("high")))
+    else:
+        done = _apply(images, frame_marks(boxes, images), F.lit(~(1 << bit)))
     return done.unionByName(frames.where((F.col("overlay") != -1) | (F.col("samples") != 1)))
 
 
-def redact_all(frames: DataFrame, rects: DataFrame, high_bits: int = 0) -> DataFrame:
+def redact_all(frames: DataFrame, rects: DataFrame, high_bits: int | DataFrame = 0) -> DataFrame:
     """Apply whole-file boxes to every frame, the named high-bit overlays and every overlay frame.
 
-    ``high_bits`` is the mask of overlay bits hidden in the image; they are cleared with the image.
+    ``high_bits`` is the mask of overlay bits hidden in the image, or a table (filename, overlay, bit_position) that tells
+    them per file; they are cleared with the image.
     """
     whole = rects.where((F.col("frame") == -1) & (F.col("overlay") == -1))
-    image_keep = F.bitwise_not(stored_bits(F.col("bits_stored"))).bitwiseAND(F.lit(~high_bits))
+    marks = frame_marks(whole, frames)
+    if isinstance(high_bits, DataFrame):
+        marks, high = _with_masks(marks, high_bits), F.col("high")
+    else:
+        high = F.lit(high_bits)
+    image_keep = F.bitwise_not(stored_bits(F.col("bits_stored"))).bitwiseAND(F.bitwise_not(high.cast("int")))
     keep = F.when(F.col("overlay") == -1, image_keep).otherwise(0)
-    return _apply(frames, frame_marks(whole, frames), keep)
+    return _apply(frames, marks, keep)
 
 
 def strip_highbits(frames: DataFrame) -> DataFrame:
@@ -204,8 +241,9 @@ def export_rects_no_pii(rects: DataFrame, strip_prefix: str | None = None) -> Da
 
 
 def redaction_report(after: DataFrame, rects: DataFrame) -> DataFrame:
-    """Per frame with boxes: boxes applied and non-zero image pixels left inside them (0 when redacted).
+    """Per frame with boxes: boxes, boxes applied, and non-zero image pixels left inside them (0 when redacted).
 
+    Boxes that meet no frame are told too, under the frame they name, with ``n_applied`` 0: their frame or file is missing.
     ``after`` is read several times, so it should be the written result of the redaction.
     """
     images = after.where(F.col("overlay") == -1)
@@ -218,4 +256,9 @@ def redaction_report(after: DataFrame, rects: DataFrame) -> DataFrame:
     whole = plain.where(every).groupBy("filename").agg(F.count(F.lit(1)).alias("_whole"))
     counted = marked.join(own, FRAME_KEYS, "left").join(whole, "filename", "left")
     total = F.coalesce("_own", F.lit(0)) + F.coalesce("_whole", F.lit(0))
-    return counted.select(*FRAME_KEYS, total.alias("n_boxes"), "n_left")
+    found = counted.select(*FRAME_KEYS, total.alias("n_boxes"), total.alias("n_applied"), "n_left")
+    nowhere = own.withColumnRenamed("_own", "n_boxes").join(images.select(*FRAME_KEYS), FRAME_KEYS, "left_anti")
+    missing = whole.join(images.select("filename"), "filename", "left_anti").select(
+        "filename", F.lit(-1).alias("frame"), F.lit(-1).alias("overlay"), F.col("_whole").alias("n_boxes"))
+    none = F.lit(0).cast("bigint")
+    return found.unionByName(nowhere.unionByName(missing).select(*FRAME_KEYS, "n_boxes", none.alias("n_applied"), none.alias("n_left")))

@@ -5,6 +5,8 @@ Results are compared by two sums per frame, one of them weighted by position.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from scrubframe.operators import redact, rects
 from scrubframe.plans.catalog import query
 from scrubframe.plans.fixtures import Tables
 from scrubframe.plans.queries_boxes import BOX, FRAME, region_rects
-from scrubframe.session import reliable
+from scrubframe.session import checkpoint_root, reliable
 
 
 def sums(frames: DataFrame) -> DataFrame:
@@ -87,9 +89,47 @@ def _(t: Tables) -> DataFrame:
     return sums(redact.redact_overlay_frame(every, t.fx_frame_rects))
 
 
+@query("redact_frames_bucketed", _masked_sql("{fx_frames}", "{fx_frame_rects}", "b.overlay = -1 and (b.frame = -1 or b.frame = px.frame)", "p - p % 256"))
+def _(t: Tables) -> DataFrame:
+    """The frames as a bucketed table, of which no pixel moves."""
+    name = f"frames_{uuid.uuid4().hex}"
+    stored = redact.store_frames(t.fx_frames, name, 8, f"{checkpoint_root(t.spark)}/{name}")
+    return sums(redact.redact_frames(stored, t.fx_frame_rects))
+
+
+_FILE_NO = "cast(substr(px.filename, 4) as int)"
+
+
+def overlay_positions(t: Tables) -> DataFrame:
+    """Overlay 0 of each file: without a position in every third, else in bit 8 or 9; overlay 1 in bit 11."""
+    number = F.substring("filename", 4, 20).cast("int")
+    files = t.fx_frames.select("filename").distinct()
+    zero = files.select("filename", F.lit(0).alias("overlay"), F.when(number % 3 > 0, 8 + number % 2).cast("int").alias("bit_position"))
+    return zero.unionByName(files.select("filename", F.lit(1).alias("overlay"), F.lit(11).alias("bit_position")))
+
+
+@query("redact_highbit_per_file", _masked_sql("{fx_frames}", "{fx_frame_rects}", "b.overlay = 0",
+       f"case when {_FILE_NO} % 3 = 0 then p when {_FILE_NO} % 2 = 0 then p - (p & 256) else p - (p & 512) end"))
+def _(t: Tables) -> DataFrame:
+    return sums(redact.redact_highbit_overlay(t.fx_frames, t.fx_frame_rects, 0, overlay_positions(t)))
+
+
+@query("redact_all_per_file", _masked_sql(
+    f"(select {FRAME}, pixels from {{fx_frames}} union all select {FRAME}, pixels from {{fx_overlay_frames}})", "{fx_frame_rects}",
+    "b.overlay = -1 and b.frame = -1",
+    f"""case when px.overlay = -1 then p - p % 256 - (p & 2048) - case when {_FILE_NO} % 3 = 0 then 0 when {_FILE_NO} % 2 = 0 then p & 256 else p & 512 end
+  else 0 end"""))
+def _(t: Tables) -> DataFrame:
+    every = t.fx_frames.unionByName(t.fx_overlay_frames)
+    return sums(redact.redact_all(every, t.fx_frame_rects, overlay_positions(t)))
+
+
 @query("redaction_report", """
-select f.filename, f.frame, f.overlay, count(*) as n_boxes, cast(0 as bigint) as n_left from {fx_frames} f join {fx_frame_rects} r
-  on r.filename = f.filename and r.overlay = -1 and (r.frame = -1 or r.frame = f.frame) group by 1, 2, 3""")
+select f.filename, f.frame, f.overlay, count(*) as n_boxes, count(*) as n_applied, cast(0 as bigint) as n_left from {fx_frames} f join {fx_frame_rects} r
+  on r.filename = f.filename and r.overlay = -1 and (r.frame = -1 or r.frame = f.frame) group by 1, 2, 3
+union all
+select r.filename, r.frame, r.overlay, count(*), 0, 0 from {fx_frame_rects} r where r.overlay = -1 and not exists (
+  select 1 from {fx_frames} f where f.filename = r.filename and (r.frame = -1 or r.frame = f.frame)) group by 1, 2, 3""")
 def _(t: Tables) -> DataFrame:
     after = reliable(redact.redact_frames(t.fx_frames, t.fx_frame_rects))
     return redact.redaction_report(after, t.fx_frame_rects)

@@ -120,3 +120,13 @@ def _(t: Tables) -> DataFrame:
 select filename, ord, case when nerpii > 0 then nerpii else 0 end as bit from {fx_rects}""")
 def _(t: Tables) -> DataFrame:
     return t.fx_rects.select("filename", "ord", P.overlay_bit(F.col("nerpii")).alias("bit"))
+
+
+@query("list_files", "select n_regionkey as region, count(*) as n from {nation} group by 1")
+def _(t: Tables) -> DataFrame:
+    """One file per nation in a folder per region; listed without being read, the marker file of the writer left out."""
+    path = scratch(t)
+    t.nation.repartitionByRange(25, "n_nationkey").write.option("maxRecordsPerFile", 1).partitionBy("n_regionkey").parquet(path)
+    listed = files.list_files(t.spark, [path], skip=f"{files.NOT_IMAGES}|_SUCCESS$")
+    region = F.regexp_extract("path", r"n_regionkey=([0-9]+)/", 1).cast("bigint")
+    return listed.groupBy(region.alias("region")).agg(F.count(F.lit(1)).alias("n"))

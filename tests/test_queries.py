@@ -18,7 +18,8 @@ from tools.check_oracle import compare
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 # Queries whose text or pixel step needs Python; all others must stay in the JVM.
 PYTHON_STEPS = {"rect_similar", "fold_rects_coalesce", "detector_plugin", "redact_frames", "redact_all",
-                "redact_highbit_overlay", "redact_overlay_frame", "redaction_report", "redact_frames_pixels"}
+                "redact_highbit_overlay", "redact_overlay_frame", "redaction_report", "redact_frames_pixels", "redact_frames_bucketed", "redact_highbit_per_file",
+                "redact_all_per_file"}
 
 
 @pytest.fixture(scope="module")

@@ -122,3 +122,25 @@ def test_contrast_stretch_of_a_large_frame_is_quick(spark):
     start = time.time()
     low, high = frame.select(pixels.contrast_stretch(F.col("pixels")).alias("p")).select(F.array_min("p"), F.array_max("p")).first()
     assert (low, high) == (0, 255) and time.time() - start < 20
+
+
+def test_no_pixel_moves(spark, tables, tmp_path):
+    import re
+    stored = redact.store_frames(tables.fx_frames, "frames_of_test", 4, str(tmp_path / "frames"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (redact.redact_frames(stored, tables.fx_frame_rects), redact.redact_all(stored, tables.fx_frame_rects)):
+            plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+            moved = [b for b in re.split(r"\n\n+", plan) if re.match(r"\(\d+\) Exchange", b)]
+            assert moved and not any("pixels" in b for b in moved)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop table frames_of_test")
+
+
+def test_boxes_on_missing_frames_are_reported(spark):
+    frames = spark.createDataFrame([("f", 0, -1, 2, 2, 1, 8, [0, 0, 0, 5])], "filename string, frame int, overlay int, n_rows int, n_cols int, samples int, bits_stored int, pixels array<int>")
+    box = [(name, frame, -1, 0, 0, 0, 0) for name, frame in (("f", 0), ("f", -1), ("f", 7), ("f", 7), ("g", 0), ("g", -1))]
+    rects = spark.createDataFrame(box, "filename string, frame int, overlay int, box_left int, box_top int, box_right int, box_bottom int")
+    got = redact.redaction_report(frames, rects).collect()
+    assert sorted(map(tuple, got)) == [("f", 0, -1, 2, 2, 0), ("f", 7, -1, 2, 0, 0), ("g", -1, -1, 1, 0, 0), ("g", 0, -1, 1, 0, 0)]
