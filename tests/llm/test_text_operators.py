@@ -346,3 +346,31 @@ def test_pipeline_stages(spark, docs):
     clean = {r["doc_id"]: r["text"] for r in stages["decontamination"](spark, frame, SMALL).collect()}
     assert 51 not in clean and clean[50].startswith("Some clean words") and len(clean[50]) < 60 and clean[1] == BASE and 4 in clean
     assert stages["mix_sources"](spark, frame.limit(0), SMALL).count() == 0
+
+
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    other = "quite another text that stands alone with words of its own here"
+    rows = [(1, BASE), (6, BASE + " more"), (6, other), (None, BASE + " more"), (7, None), (7, None), (8, None), (9, "!"), (None, "x y"), (5, BASE.upper())]
+    frame = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, frame, SMALL).collect()}
+    assert got == {(1, BASE), (6, other), (7, None), (8, None), (9, "!"), (None, "x y")}
+    assert corpus_pipeline.near_dedup(spark, frame.limit(0), SMALL).count() == 0
+
+
+def test_pipeline_run(spark, tmp_path):
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    passage = bench.limit(1).first()["text"]
+    rng = np.random.default_rng(6)
+    known = spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) > 400").limit(60).collect()
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in known] + [
+        (9001, None, "en", "src0", 0), (9002, "12 34", "en", "src0", 5), (9003, passage, "en", "src1", len(passage)), (9004, known[0]["text"], "en", "src2", 1)]
+    rows = [rows[k] for k in rng.permutation(len(rows))]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = corpus_pipeline.table(spark, str(tmp_path), "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)), "stage")
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, docs.collect()))
+    ids = {r["doc_id"] for r in whole.collect()}
+    assert not {9001, 9002, 9003, 9004} & ids and len(ids) > 20
