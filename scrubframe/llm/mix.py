@@ -47,41 +47,50 @@ def random_number(doc_id: Column, text: Column, seed: int) -> Column:
     return (F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(16 ** 13))
 
 
-def pareto_rank(u: Column, inclusion: Column) -> Column:
-    """Random odds divided by the odds of inclusion."""
-    return (u / (1 - u)) * (1 - inclusion) / inclusion
+def inclusion_odds(part: Column, size: Column, mean: Column) -> Column:
+    """Odds of one more copy of a document: those of the source's part, times the root of the document's size over the mean.
+
+    Longer documents are thus more likely to be repeated, by less than in proportion; without words the factor is 1.
+    """
+    return (part / (F.lit(1.0) - part)) * F.when(size > 0, F.sqrt(size.cast("double") / mean)).otherwise(F.lit(1.0))
+
+
+def pareto_rank(u: Column, odds: Column) -> Column:
+    """Random odds divided by the odds of inclusion, brought between 0 and 1 in the same order."""
+    ratio = (u / (F.lit(1.0) - u)) / odds
+    return ratio / (F.lit(1.0) + ratio)
 
 
 def cutoffs(rows: DataFrame, plan: DataFrame, slices: int) -> DataFrame:
     """Per source the Pareto rank up to which documents are sampled.
 
-    ``rows`` (source, size, u) are first summed per source and slice of the random number, which combines before any
-    shuffle. Only the rows of the slice in which a source's rest is used up are then ordered.
+    ``rows`` (source, size, rank) are first summed per source and slice of the rank, which combines before any shuffle.
+    Only the rows of the slice in which a source's rest is used up are then ordered.
     """
-    wanted = plan.where("part > 0 and source_size > 0").select("source", "part", (F.col("part") * F.col("source_size")).alias("rest"))
-    rows = rows.withColumn("slice", F.floor(F.col("u") * slices))
+    wanted = plan.where("part > 0 and source_size > 0").select(F.col("source").alias("_source"), (F.col("part") * F.col("source_size")).alias("rest"))
+    rows = rows.withColumn("slice", F.floor(F.col("rank") * slices))
     sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     up_to = Window.partitionBy("source").orderBy("slice")
     sums = sums.withColumn("upto", F.sum("words").over(up_to)).withColumn("before", F.col("upto") - F.col("words"))
-    wanted = wanted.withColumnRenamed("source", "_source")
     edge = sums.join(wanted, F.col("source").eqNullSafe(F.col("_source"))).where("upto >= rest").groupBy("source").agg(
-        F.min(F.struct("slice", "before", "rest", "part")).alias("edge"))
+        F.min(F.struct("slice", "before", "rest")).alias("edge"))
     edge = edge.select(F.col("source").alias("_source"), "edge.*").withColumnRenamed("slice", "_slice")
     last = rows.join(edge, F.col("source").eqNullSafe(F.col("_source")) & (F.col("slice") == F.col("_slice")))
-    run = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("u"))
-    inside = last.select("source", "part", F.abs(run - F.col("rest")).alias("off"), "u")
-    start = edge.select(F.col("_source").alias("source"), "part", F.abs(F.col("before") - F.col("rest")).alias("off"),
-                        (F.col("_slice") / F.lit(float(slices))).alias("u"))
-    best = start.unionByName(inside).groupBy("source").agg(F.min(F.struct("off", "u")).alias("best"), F.first("part").alias("part"))
-    return best.select(F.col("source").alias("_source"), pareto_rank(F.col("best.u"), F.col("part")).alias("cutoff"))
+    run = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("rank"))
+    inside = last.select("source", F.abs(run - F.col("rest")).alias("off"), "rank")
+    start = edge.select(F.col("_source").alias("source"), F.abs(F.col("before") - F.col("rest")).alias("off"),
+                        (F.col("_slice") / F.lit(float(slices))).alias("rank"))
+    best = start.unionByName(inside).groupBy("source").agg(F.min(F.struct("off", "rank")).alias("best"))
+    return best.select(F.col("source").alias("_source"), F.col("best.rank").alias("cutoff"))
 
 
 def mixed(docs: DataFrame, most: int = MOST, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, slices: int = 65_536) -> DataFrame:
     """Add size, source_size, target and copies to every document; ``copies`` times the document is in the mix.
 
     Every document of a source gets floor(target / source_size) certain copies. The rest of the target is a Pareto order
-    sample: documents rank by random odds over inclusion odds, and the head of the ranking whose words come nearest to
-    the rest gets one copy more (the size of the sample is fixed in words). No document exceeds ``most`` copies.
+    sample with unequal probabilities: documents rank by random odds over ``inclusion_odds``, which grow with the root of
+    their size, and the head of the ranking whose words come nearest to the rest gets one copy more (the size of the
+    sample is fixed in words). No document exceeds ``most`` copies.
 
     A source may hold any share of the rows: sums are combined before they move, and the sample is applied as one cutoff
     per source, so texts never move. Reruns agree: the random number is a hash of doc_id and text, and rows equal in both
@@ -90,14 +99,24 @@ def mixed(docs: DataFrame, most: int = MOST, weights: tuple[int, ...] = (1, 2, 3
     """
     added = ("size", "source_size", "target", "copies")
     rows = docs.select(*[c for c in docs.columns if c not in added]).withColumn("size", words(F.col("text")))
-    rows = rows.withColumn("_u", random_number(F.col("doc_id"), F.col("text"), seed))
-    plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), most, weights)
+    rows = rows.withColumn("_mix_u", random_number(F.col("doc_id"), F.col("text"), seed))
+    sums = stored(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("_n")), "mix-sums")
+    plan = targets(sums.drop("_n"), most, weights)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = plan.withColumn("whole", F.least(F.floor(ratio + F.lit(1e-12)), F.lit(most)).cast("int"))
-    plan = stored(plan.withColumn("part", F.greatest(ratio - F.col("whole"), F.lit(0.0))), "mix-plan")
-    cut = cutoffs(rows.select("source", "size", F.col("_u").alias("u")), plan, slices)
-    plan = plan.withColumnRenamed("source", "_name").join(cut, F.col("_name").eqNullSafe(F.col("_source")), "left").drop("_source")
+    plan = plan.withColumn("part", F.greatest(ratio - F.col("whole"), F.lit(0.0)))
+    counts = sums.select(F.col("source").alias("_source"), "_n")
+    plan = plan.join(counts, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    plan = stored(plan.withColumn("mean", F.when(F.col("_n") > 0, F.col("source_size").cast("double") / F.col("_n"))).drop("_n"), "mix-plan")
+    def rank(part: str, mean: str) -> Column:
+        return F.when(F.col(part) > 0, pareto_rank(F.col("_mix_u"), inclusion_odds(F.col(part), F.col("size"), F.col(mean))))
+
+    shared = plan.where("part > 0 and source_size > 0").select(F.col("source").alias("_mix_name"), "part", "mean")
+    ranked = rows.select("source", "size", "_mix_u").join(shared, F.col("source").eqNullSafe(F.col("_mix_name")))
+    cut = cutoffs(ranked.select("source", "size", rank("part", "mean").alias("rank")), plan, slices)
+    plan = plan.join(cut, F.col("source").eqNullSafe(F.col("_source")), "left").select(
+        F.col("source").alias("_mix_name"), "source_size", "target", *(F.col(c).alias(f"_mix_{c}") for c in ("whole", "part", "mean", "cutoff")))
     plan = stored(plan, "mix-cutoffs")
-    taken = rows.join(plan, F.col("source").eqNullSafe(F.col("_name")))
-    extra = (F.col("cutoff").isNotNull() & (pareto_rank(F.col("_u"), F.col("part")) <= F.col("cutoff"))).cast("int")
-    return taken.withColumn("copies", F.col("whole") + extra).drop("_u", "_name", "whole", "part", "cutoff")
+    taken = rows.join(plan, F.col("source").eqNullSafe(F.col("_mix_name")))
+    extra = F.coalesce(rank("_mix_part", "_mix_mean") <= F.col("_mix_cutoff"), F.lit(False)).cast("int")
+    return taken.withColumn("copies", F.col("_mix_whole") + extra).drop("_mix_u", *(c for c in plan.columns if c.startswith("_mix_")))

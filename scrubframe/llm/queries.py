@@ -88,7 +88,7 @@ with docs as (
          (cast('0x' || substr(md5('7|' || coalesce(cast(doc_id as varchar), '') || '|' || md5(coalesce(text, ''))), 1, 13) as bigint)::double + 0.5)
            / 4503599627370496.0 as u
   from documents),
-sums as (select source, sum(size)::double as source_size from docs group by source),
+sums as (select source, sum(size)::double as source_size, sum(size)::double / nullif(count(*) filter (size > 0), 0) as mean from docs group by source),
 weighed as (
   select *, 3 * source_size as cap, [1.0, 2.0, 3.0][1 + ((row_number() over (order by source nulls last) - 1) % 3)]::double as weight,
          sum(source_size) over () as total
@@ -98,7 +98,7 @@ levels as (
             / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level
   from weighed),
 plan as (
-  select source, source_size, case when cap <= weight * level then cap
+  select source, source_size, mean, case when cap <= weight * level then cap
          else weight * max(case when cap <= weight * level then null else level end) over () end as target
   from levels),
 copies as (
@@ -106,15 +106,18 @@ copies as (
          greatest(case when source_size > 0 then target / source_size else 0 end
                   - case when source_size > 0 then least(floor(target / source_size + 1e-12), 3) else 0 end, 0) as part
   from plan),
-ranked as (
+odds as (
   select d.*, c.source_size, c.target, c.whole, c.part, c.part * c.source_size as rest,
-         sum(d.size) over (partition by d.source order by d.u) as upto
+         case when c.part > 0 then (d.u / (1.0::double - d.u))
+           / ((c.part / (1.0::double - c.part)) * case when d.size > 0 then sqrt(d.size::double / c.mean) else 1.0::double end) end as ratio
   from docs d join copies c on d.source is not distinct from c.source),
+ranked as (
+  select *, ratio / (1.0::double + ratio) as rank, sum(size) over (partition by source order by ratio / (1.0::double + ratio)) as upto from odds),
 best as (
-  select source, min_by(u, abs(upto - rest)) as cut, min(abs(upto - rest)) as off, any_value(rest) as rest
+  select source, min_by(rank, abs(upto - rest)) as cut, min(abs(upto - rest)) as off, any_value(rest) as rest
   from ranked where part > 0 group by source)
 select r.doc_id, r.size::bigint as size, r.source_size::bigint as source_size, r.target,
-       (r.size * (r.whole + case when b.cut is not null and b.off < b.rest and r.u <= b.cut then 1 else 0 end))::bigint as taken
+       (r.size * (r.whole + case when b.cut is not null and b.off < b.rest and r.rank <= b.cut then 1 else 0 end))::bigint as taken
 from ranked r left join best b on r.source is not distinct from b.source
 """
 

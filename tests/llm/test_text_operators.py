@@ -145,6 +145,22 @@ def test_mix_targets_and_limits(spark, docs):
     plan = {r["source"]: r["target"] for r in mix.targets(sizes).collect()}
     assert plan == {"a": 78.0, "b": 30.0, None: 3.0}
     assert mix.mixed(docs.limit(0)).count() == 0
+    clash = docs.withColumn("part", F.lit(1)).withColumn("mean", F.lit(2)).withColumn("rank", F.lit(3)).withColumn("cutoff", F.lit(4)).withColumn("copies", F.lit(9))
+    rows = mix.mixed(clash).orderBy(F.col("doc_id").asc_nulls_first()).collect()
+    assert [(r["doc_id"], r["copies"], r["part"], r["cutoff"]) for r in rows] == [
+        (r["doc_id"], r["copies"], 1, 4) for r in sorted(got, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))]
+
+
+def test_longer_documents_are_repeated_more_often(spark):
+    """Two sources of which one gets half of its words once more: documents of 400 words have four times the odds of those of 25."""
+    frame = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2000, "a").otherwise("b").alias("source"), F.repeat(
+        F.lit("w "), F.when(F.col("id") % 2 == 0, 400).otherwise(25)).alias("text"))
+    rows = mix.mixed(frame, weights=(5, 3)).where("source = 'a'").groupBy("size").agg(F.avg("copies").alias("copies"), F.sum(F.col("size") * F.col("copies")).alias(
+        "words"), F.first("target").alias("target")).collect()
+    often = {r["size"]: r["copies"] - 1 for r in rows}
+    assert abs(sum(r["words"] for r in rows) - rows[0]["target"]) <= 400
+    odds = {size: p / (1 - p) for size, p in often.items()}
+    assert 3 < odds[400] / odds[25] < 5.3
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
