@@ -211,6 +211,52 @@ def fold_box_array(boxes: Column, start: Column | None = None, coalesce: bool =
     return F.aggregate(boxes, first, add)
 
 
+def fold_text_boxes(rows: Column, row_type: str, match_text: bool = True) -> Column:
+    """Ordered fold of a frame's text boxes: ``kept``, and ``undecided`` if two texts that met need the swap distance.
+
+    ``rows`` is an array of ``row_type``, a struct with the box columns and ``ocrtext``, in order. A new box removes those it
+    covers, is skipped when covered, grows the first similar box with a similar text, and is appended otherwise. Null texts
+    count as empty. When ``undecided`` is set, ``kept`` says nothing.
+    """
+    state_type = f"struct<kept:array<{row_type}>,undecided:boolean>"
+    no, maybe, yes = 0, 1, 2
+
+    def alike(k: Column, new: Column) -> Column:
+        near = rect_similar(box_of(k), box_of(new))
+        if not match_text:
+            return F.when(near, yes).otherwise(no)
+        a, b = (F.coalesce(x["ocrtext"], F.lit("")) for x in (k, new))
+        allowed = F.lit(1.0 - SIMILAR_TEXT) * F.greatest(F.length(a), F.length(b)) + F.lit(1e-9)
+        level = F.when(F.levenshtein(a, b) <= allowed, yes).when(F.levenshtein(a, b) <= 2 * allowed, maybe).otherwise(no)
+        return F.when(near, level).otherwise(no)
+
+    def grown(k: Column, new: Column) -> Column:
+        edges = box_struct(rect_mbr(box_of(k), box_of(new)))
+        for n in BOX_COLUMNS:
+            k = k.withField(n, edges[n])
+        return k
+
+    def joined(left: Column, new: Column, undecided: Column) -> Column:
+        hidden = F.exists(left, lambda k: rect_contains_rect(box_of(k), box_of(new)))
+
+        def decide(levels: Column) -> Column:
+            at = F.array_position(levels, F.lit(yes))
+            kept = (F.when(at > 0, F.transform(left, lambda k, i: F.when(i + 1 == at, grown(k, new)).otherwise(k)))
+                    .otherwise(F.array_append(left, new)))
+            return F.struct(kept.alias("kept"), (undecided | F.array_contains(levels, maybe)).alias("undecided")).cast(state_type)
+
+        levels = F.transform(left, lambda k: alike(k, new))
+        return (F.when(hidden, F.struct(left.alias("kept"), undecided.alias("undecided")).cast(state_type))
+                .otherwise(let(levels, decide)))
+
+    def add(state: Column, new: Column) -> Column:
+        uncovered = F.filter(state["kept"], lambda k: ~rect_contains_rect(box_of(new), box_of(k)))
+        return F.when(state["undecided"], state).otherwise(let(uncovered, lambda u: joined(u, new, state["undecided"])))
+
+    first = F.struct(F.array().cast(f"array<{row_type}>").alias("kept"), F.lit(False).alias("undecided")).cast(state_type)
+    return F.aggregate(rows, first, add)
+
+
 def complement_boxes(keep: Column, width: Column, height: Column, exact: bool = False) -> Column:
     """Boxes covering the part of the frame outside every ``keep`` box; empty for an empty list.
 

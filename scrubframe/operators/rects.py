@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -322,7 +323,7 @@ class _Island:
             for i in self._matching(lambda L, T, R, D: (abs(L - l) <= near) & (abs(T - t) <= near)
                                     & (abs(R - r) <= near) & (abs(D - b) <= near)):
                 k = self.kept[i]
-                if not self.with_text or B.texts_similar(k[4], new[4]):
+                if not self.with_text or B.texts_similar(k[4] or "", new[4] or ""):
                     k[:4] = [min(k[0], l), min(k[1], t), max(k[2], r), max(k[3], b)]
                     self.edges = None
                     return
@@ -335,24 +336,65 @@ def fold_rects(rects: DataFrame, order: str = "ord", coalesce: bool = False, acr
     """Boxes of each frame without hidden ones and, with ``coalesce``, with similar ones merged.
 
     Merging depends on the order, so ``order`` must be unique within a frame. Without merging
-    the result is ``maximal_rects``. With it, frames with many boxes are first cut into
-    islands that cannot influence each other, and each island is folded as a sorted stream
-    that holds only the boxes kept so far.
+    the result is ``maximal_rects``. With it, a frame of up to ``cell_limit`` boxes is folded as
+    one array; only a frame in which two texts met that need the swap distance is folded
+    by the Python function, within the same pass. Larger frames are first cut into islands that
+    cannot influence each other, and each island is folded as a sorted stream that holds only
+    the boxes kept so far.
     """
     if not coalesce and group is None:
         return maximal_rects(rects, across_frames, order, ["ocrtext"], cell_limit)
     keys = group or (["filename"] if across_frames else FRAME_KEYS)
     valid = rects.where(rect_is_valid(box())).select(*keys, *BOX_COLUMNS, "ocrtext", order)
     few, many = split_hot_groups(valid, keys, cell_limit)
-    flat = few.withColumn("_ix", F.lit(0).cast("bigint")).withColumn("_iy", F.lit(0).cast("bigint"))
+    out = _folded_lists(few, keys, order, coalesce, match_text)
     if many is not None:
-        columns = _islands(many, keys, "box_left", "box_right", "_ix")
-        cut = _islands(columns, [*keys, "_ix"], "box_top", "box_bottom", "_iy")
-        flat = flat.unionByName(cut.select(*flat.columns))
+        out = out.unionByName(_folded_islands(many, keys, order, coalesce, match_text))
+    return out
+
+
+def _folded_lists(few: DataFrame, keys: list[str], order: str, coalesce: bool, match_text: bool) -> DataFrame:
+    """Fold groups of bounded size, one array each."""
+    row = F.struct(F.col(order), *BOX_COLUMNS, "ocrtext")
+    listed = few.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_all"))
+    if not coalesce:
+        hidden = lambda o, b: rect_contains_rect(B.box_of(o), B.box_of(b)) & (
+            ~B.rect_equal(B.box_of(o), B.box_of(b)) | (o[order] > b[order]))
+        kept = F.filter("_all", lambda b: ~F.exists("_all", lambda o: hidden(o, b)))
+    else:
+        rows_type = listed.schema["_all"].dataType
+        folded = listed.withColumn("_fold", B.fold_text_boxes(F.col("_all"), rows_type.elementType.simpleString(), match_text))
+        listed = folded.withColumn("_exact", _fold_in_python(rows_type, match_text)(
+            F.when(F.col("_fold.undecided"), F.col("_all")).otherwise(F.array().cast(rows_type)))) if match_text else folded
+        kept = F.when(F.col("_fold.undecided"), F.col("_exact")).otherwise(F.col("_fold.kept")) if match_text else F.col("_fold.kept")
+    return listed.select(*keys, F.inline(kept)).select(*keys, *BOX_COLUMNS, "ocrtext", order)
+
+
+def _fold_in_python(rows_type: T.ArrayType, match_text: bool):
+    """Fold of arrays whose texts need the swap distance; other groups arrive as empty arrays."""
+    names = rows_type.elementType.names
+
+    @F.arrow_udf(rows_type)
+    def fold(groups: pa.Array) -> pa.Array:
+        out = []
+        for group in groups.to_pylist():
+            boxes = _Island(True, match_text)
+            for r in group or []:
+                boxes.add([*(r[c] for c in BOX_COLUMNS), r["ocrtext"], r[names[0]]])
+            out.append([dict(zip([*BOX_COLUMNS, "ocrtext", names[0]], k)) for k in boxes.kept])
+        return pa.array(out, groups.type)
+
+    return fold
+
+
+def _folded_islands(many: DataFrame, keys: list[str], order: str, coalesce: bool, match_text: bool) -> DataFrame:
+    """Fold large groups island by island, each as a sorted stream."""
+    columns = _islands(many, keys, "box_left", "box_right", "_ix")
+    flat = _islands(columns, [*keys, "_ix"], "box_top", "box_bottom", "_iy")
     islands = [*keys, "_ix", "_iy"]
     ordered = flat.repartition(*islands).sortWithinPartitions(*islands, order)
     fields = [*keys, *BOX_COLUMNS, "ocrtext", order]
-    schema = T.StructType([valid.schema[f] for f in fields])
+    schema = T.StructType([many.schema[f] for f in fields])
     n_keys = len(keys)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -317,7 +317,26 @@ def _(t: Tables) -> DataFrame:
     return rects.fold_rects(t.fx_rects)
 
 
-@query("fold_rects_coalesce")
+_COVERS = "{0}.l <= {1}.l and {0}.t <= {1}.t and {0}.r >= {1}.r and {0}.b >= {1}.b"
+#: Edges within 4 pixels and texts alike. The distance of the SQL may also edit between two swapped letters, the operator's may
+#: not; no two texts of the tables differ in this.
+_ALIKE = """abs(k.l - x[1].l) <= 4 and abs(k.t - x[1].t) <= 4 and abs(k.r - x[1].r) <= 4 and abs(k.b - x[1].b) <= 4
+  and damerau_levenshtein(k.txt, x[1].txt) <= 0.1 * greatest(length(k.txt), length(x[1].txt)) + 1e-9"""
+
+
+@query("fold_rects_coalesce", f"""
+with lists as (
+  select {FRAME}, list([struct_pack(ord := ord, l := box_left, t := box_top, r := box_right, b := box_bottom, txt := ocrtext)] order by ord) as items
+  from {{fx_rects}} where {VALID} group by all),
+folded as (
+  select {FRAME}, unnest(list_reduce(items, lambda s, x: list_transform([list_filter(s, lambda k: not ({_COVERS.format("x[1]", "k")}))],
+    lambda u: case when len(list_filter(u, lambda k: {_COVERS.format("k", "x[1]")})) > 0 then u
+      when len(list_filter(u, lambda k: {_ALIKE})) > 0 then list_transform(u, lambda g, i:
+        case when i = list_position(list_transform(u, lambda k: {_ALIKE}), true)
+        then struct_pack(ord := g.ord, l := least(g.l, x[1].l), t := least(g.t, x[1].t), r := greatest(g.r, x[1].r), b := greatest(g.b, x[1].b), txt := g.txt)
+        else g end)
+      else list_concat(u, x) end)[1], [])) as k from lists)
+select {FRAME}, k.l as box_left, k.t as box_top, k.r as box_right, k.b as box_bottom, k.txt as ocrtext, k.ord as ord from folded""")
 def _(t: Tables) -> DataFrame:
     return rects.fold_rects(t.fx_rects, coalesce=True)
 

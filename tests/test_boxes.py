@@ -188,6 +188,21 @@ def test_fold_agrees_with_plain_fold(spark):
                     assert {tuple(r[c] for c in B.BOX_COLUMNS) for r in got if r.filename == name} == want
 
 
+def test_fold_with_undecided_texts(spark):
+    # Neighbour swaps: the plain distance is twice the one that counts, so the array fold hands these frames on.
+    texts = ("jane maclean of skye", "jane macelan of skye", "jnae macelan of skye", "enaj macnael of skye", None)
+    rows = random_boxes(400, 4, 60, 30, texts)
+    want = {name: plain_fold([(*r[3:7], r[7] or "") for r in rows if r[0] == name], True) for name in ("f", "g")}
+    never = {name: plain_fold([(*r[3:7], "") for r in rows if r[0] == name], True) for name in ("f", "g")}
+    assert want != never
+    for limit in (0, 10_000):
+        got = rects.fold_rects(table(spark, rows), coalesce=True, cell_limit=limit).collect()
+        assert {n: {tuple(r[c] for c in B.BOX_COLUMNS) for r in got if r.filename == n} for n in want} == want
+        got = rects.fold_rects(table(spark, rows), coalesce=True, match_text=False, cell_limit=limit).collect()
+        assert {n: {tuple(r[c] for c in B.BOX_COLUMNS) for r in got if r.filename == n} for n in want} == never
+    assert rects.fold_rects(table(spark, rows).limit(0), coalesce=True).count() == 0
+
+
 def test_fold_keeps_the_last_of_equal_boxes(spark):
     rows = [("f", 0, -1, 1, 1, 5, 5, "old", 1), ("f", 0, -1, 1, 1, 5, 5, "new", 2), ("f", 1, -1, 1, 1, 5, 5, "x", 3)]
     for limit in (0, 100):

@@ -44,7 +44,7 @@ def test_query(spark, duck, name):
 
 def test_sql_covers_queries():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"fold_rects_coalesce", "form_classifier"}
+    assert set(QUERIES) - set(SQL) == {"form_classifier"}
 
 
 def test_entry(spark):
