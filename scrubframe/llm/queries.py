@@ -18,7 +18,7 @@ from scrubframe.llm.language import held_out, identify, learn
 from scrubframe.llm.lines import deduplicated
 from scrubframe.llm.mix import mixed
 from scrubframe.llm.periodic import periodic_runs
-from scrubframe.llm.pii import BASE_KINDS, joined, once, personal_data
+from scrubframe.llm.pii import BASE_KINDS, joined, once, personal_data, scores
 from scrubframe.llm.spelling import LEAST_LENGTH, runs, variants
 from scrubframe.llm.warc import archived
 
@@ -129,7 +129,8 @@ def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     kinds = F.transform("spans", lambda s: s["kind"])
     counts = [F.size(F.array_remove(kinds, k)).alias(k) for k in BASE_KINDS]
     counts = [(F.size(kinds) - left).cast("bigint").alias(f"n_{k}") for k, left in zip(BASE_KINDS, counts, strict=True)]
-    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+                        scores(F.col("spans")).alias("scores"))
 
 
 @query
