@@ -295,17 +295,26 @@ def test_jaccard_join_against_brute_force(spark, limits):
 
 @pytest.mark.parametrize("parts", [(2, 1), (1, 2)])
 def test_links_do_not_depend_on_equal_shards(spark, monkeypatch, parts):
-    plain, runs = jaccard.describe, []
+    for name, n in zip(("describe", "postings_of"), parts, strict=True):
+        def dealt(docs, *args, plain=getattr(jaccard, name), n=n):
+            return plain(docs.repartitionByRange(n, "doc_id"), *args)
 
-    def dealt(docs, *args):
-        runs.append(parts[min(len(runs), 1)])
-        return plain(docs.repartitionByRange(runs[-1], "doc_id"), *args)
-
-    monkeypatch.setattr(jaccard, "describe", dealt)
+        monkeypatch.setattr(jaccard, name, dealt)
     pair = spark.createDataFrame([(1, BASE), (2, BASE + " more")], "doc_id bigint, text string")
     assert {tuple(r) for r in jaccard.near_duplicates(pair).select("doc_id", "component_id").collect()} == {(1, 1), (2, 1)}
 
 
+def test_jaccard_join_of_rows_without_id_repeats_and_long_texts(spark):
+    long = " ".join(f"w{k % 7919}x{k % 31}" for k in range(60_000))
+    rows = [(None, BASE)] * 40 + [(None, BASE + " more")] * 40 + [(5, BASE)] * 3 + [(6, BASE + " more")] + [(8, long), (9, long + " end"), (10, "w0x0 w1x1"), (None, None), (11, "")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {tuple(r) for r in jaccard.near_duplicates(frame).select("doc_id", "component_id").collect()}
+    assert got == {(None, 5), (5, 5), (6, 5), (8, 8), (9, 8), (10, 10), (None, None), (11, 11)}
+    lone = {tuple(r) for r in jaccard.near_duplicates(frame.where("doc_id is null")).collect()}
+    assert {r[2] for r in lone} == {None}
+    assert jaccard.near_duplicates(frame.limit(0)).count() == 0
+
+
 def test_signature_tree_finds_all_classes():
     rng = np.random.default_rng(7)
     sets = [np.unique(rng.integers(0, 1 << 63, 40, dtype=np.int64).astype(np.uint64)) for _ in range(3)]
