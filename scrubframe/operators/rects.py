@@ -363,7 +363,9 @@ def _folded_lists(few: DataFrame, keys: list[str], order: str, coalesce: bool, m
         kept = F.filter("_all", lambda b: ~F.exists("_all", lambda o: hidden(o, b)))
     else:
         rows_type = listed.schema["_all"].dataType
-        folded = listed.withColumn("_fold", B.fold_text_boxes(F.col("_all"), rows_type.elementType.simpleString(), match_text))
+        whole = F.struct(F.col("_all").alias("kept"), F.lit(False).alias("undecided"))
+        folded = listed.withColumn("_fold", F.when(F.size("_all") == 1, whole).otherwise(
+            B.fold_text_boxes(F.col("_all"), rows_type.elementType.simpleString(), match_text)))
         listed = folded.withColumn("_exact", _fold_in_python(rows_type, match_text)(
             F.when(F.col("_fold.undecided"), F.col("_all")).otherwise(F.array().cast(rows_type)))) if match_text else folded
         kept = F.when(F.col("_fold.undecided"), F.col("_exact")).otherwise(F.col("_fold.kept")) if match_text else F.col("_fold.kept")
