@@ -7,6 +7,7 @@ for text boxes, ``ocrtext, nerpii``. ``ord`` numbers the boxes of one file in de
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -133,10 +134,11 @@ def with_box_cells(df: DataFrame) -> DataFrame:
             .withColumn("_cy", F.explode(cells(b.top, b.bottom))).drop("_edge"))
 
 
-def with_point_cells(df: DataFrame, x: Column, y: Column, from_level: Column | None = None) -> DataFrame:
+def with_point_cells(df: DataFrame, x: Column, y: Column, from_level: Column | None = None, to_level: int | None = None) -> DataFrame:
     """One row per level: the cell in which a box covering the point must have registered."""
     lowest = from_level if from_level is not None else F.lit(0)
-    rows = df.withColumn("_level", F.explode(F.sequence(lowest, F.lit(len(CELL_EDGES) - 1))))
+    highest = to_level if to_level is not None else len(CELL_EDGES) - 1
+    rows = df.withColumn("_level", F.explode(F.sequence(lowest, F.lit(highest))))
     edge = _edge_of(F.col("_level"))
     return rows.withColumn("_cx", F.floor(x / edge)).withColumn("_cy", F.floor(y / edge))
 
@@ -171,21 +173,25 @@ def _covered(keys: list[str]) -> Column:
 def _uncovered_by_cell(boxes: DataFrame, group: list[str], largest: int = 256) -> DataFrame:
     """Distinct boxes no other box of their group covers, for groups of any size.
 
-    The few largest boxes of a group hide most of the others, and comparing with them needs
-    no shuffle. What is left is compared cell by cell: a covering box is at least as large,
-    so it lies on the same or a higher level, in the cell of the covered box's corner. Of the
-    boxes of a cell with equal left, top and right edges only the tallest can decide.
+    In groups of more than ``largest`` boxes the few largest hide most of the others, and comparing
+    with them needs no shuffle. What is left is compared cell by cell: a covering box is at least
+    as large, so it lies on the same or a higher level, in the cell of the covered box's corner; no
+    box asks on levels that hold none. Of the boxes of a cell with equal left, top and right edges
+    only the tallest can decide.
     """
     b = box()
     distinct = reliable(boxes)
-    by_size = Window.partitionBy(*group).orderBy(B.rect_area(b).desc(), *BOX_COLUMNS)
-    big = distinct.withColumn("_rank", F.row_number().over(by_size)).where(F.col("_rank") <= largest)
-    left = reliable(distinct.alias("i").join(
-        broadcast_if_small(big.drop("_rank")).alias("o"), _covered(group), "left_anti"))
+    left, many = split_hot_groups(distinct, group, largest)
+    if many is not None:
+        by_size = Window.partitionBy(*group).orderBy(B.rect_area(b).desc(), *BOX_COLUMNS)
+        big = many.withColumn("_rank", F.row_number().over(by_size)).where(F.col("_rank") <= largest)
+        left = reliable(left.unionByName(many.alias("i").join(
+            broadcast_if_small(big.drop("_rank")).alias("o"), _covered(group), "left_anti")))
+    top = left.agg(F.max(_box_level(b))).first()[0]
     keys = _cell_keys(group)
     tall = (with_box_cells(left).groupBy(*keys, "box_left", "box_top", "box_right")
             .agg(F.max("box_bottom").alias("box_bottom")))
-    probes = with_point_cells(left, b.left, b.top, _box_level(b))
+    probes = with_point_cells(left, b.left, b.top, _box_level(b), top)
     hidden = (probes.alias("i").join(tall.alias("o"), _covered(keys), "left_semi")
               .select(*group, *BOX_COLUMNS).distinct())
     return left.join(hidden, [*group, *BOX_COLUMNS], "left_anti")
@@ -205,7 +211,12 @@ def maximal_rects(rects: DataFrame, across_frames: bool = False, order: str | No
     valid = rects.where(rect_is_valid(box()))
     keys = [*group, *BOX_COLUMNS]
     extra = [order, *(carry or [])] if order else []
-    few, many = split_hot_groups(valid, group, cell_limit, counted=counted)
+    if cell_limit > 0:
+        few, many = split_hot_groups(valid, group, cell_limit, counted=counted)
+    else:
+        # Every frame is large and needs no count; frames without a full name have no equal and stay one list.
+        named = reduce(lambda a, c: a & c, (F.col(k).isNotNull() for k in group))
+        few, many = valid.where(~named), valid.where(named)
     out = _uncovered_by_frame(few, group, extra)
     if many is not None:
         left = _uncovered_by_cell(many.select(*keys).distinct(), group)

@@ -223,6 +223,25 @@ def test_maximal_across_levels(spark):
     assert rects.maximal_rects(table(spark, across), across_frames=True).count() == 1
 
 
+def test_cells_are_asked_only_where_boxes_are(spark, monkeypatch):
+    counted, asked = [], []
+    split, points = rects.split_hot_groups, rects.with_point_cells
+    monkeypatch.setattr(rects, "split_hot_groups", lambda df, keys, limit, **more: counted.append(limit) or split(df, keys, limit, **more))
+    monkeypatch.setattr(rects, "with_point_cells", lambda df, x, y, low=None, top=None: asked.append(top) or points(df, x, y, low, top))
+    rng = random.Random(5)
+    rows = []
+    for f, n in (("f", 30), ("hot", 700), (None, 20)):
+        for _ in range(n):
+            l, t = rng.randrange(300), rng.randrange(300)
+            rows.append((f, 0, -1, l, t, l + rng.randrange(1, 90), t + rng.randrange(1, 90), "", 1))
+    boxes = {(f, *r) for f, _, _, *r, _, _ in rows}
+    want = {a for a in boxes if not any(a[0] == b[0] and a != b and b[1] <= a[1] and b[2] <= a[2] and b[3] >= a[3] and b[4] >= a[4] for b in boxes)}
+    got = rects.maximal_rects(table(spark, rows), cell_limit=0).collect()
+    assert len(got) == len(want) and {(r.filename, r.box_left, r.box_top, r.box_right, r.box_bottom) for r in got} == want
+    # No count of frames of no box, boxes of less than 1024 pixels ask two levels at most.
+    assert 0 not in counted and asked == [1]
+
+
 def test_points_and_pairs_agree_with_brute_force(spark):
     rows = random_boxes(300, 9, 600, 300)
     rng = random.Random(5)
