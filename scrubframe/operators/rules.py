@@ -162,6 +162,12 @@ def rule_lines(sets: DataFrame) -> DataFrame:
     return heads.where("line is not null").unionByName(body)
 
 
+def line_part(line: Column) -> Column:
+    """The part of a written line, as ``rule_lines`` numbers them."""
+    begins = ["LABEL device ", "  contains Modality ", *(f"  + contains {n} " for n in RULE_TAG_NAMES.values()), "  + equals Rows ", "  + equals Columns ", "  coordinates "]
+    return F.coalesce(*(F.when(line.startswith(b), F.lit(k)) for k, b in enumerate(begins)))
+
+
 def snk_rules(sets: DataFrame, path: str) -> None:
     """Write the rule text in order over numbered files. The range shuffle cuts anywhere, so a rule with very many boxes goes on
     in the next file; ``src_rules`` reads such files as one sequence."""

@@ -121,6 +121,23 @@ def src_rules(spark: SparkSession, path: str) -> DataFrame:
                        predicates.alias("predicates"), boxes.alias("boxes"))
 
 
+def src_rule_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of rule files as it stands, with the line that begins its rule: (label, line).
+
+    A rule may go on in later files, so a line without a label before it in its part of a file belongs to the last rule of an
+    earlier part. Only one label per part is compared across parts.
+    """
+    part = ["file", "_at"]
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"),
+                                        F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    rows = rows.withColumn("_label", F.when(F.col("line").rlike(r"^LABEL[ \t]"), F.col("line")))
+    last = rows.groupBy(*part).agg(F.max(F.when(F.col("_label").isNotNull(), F.struct("_id", "_label"))).alias("_last"))
+    before = F.last("_last", True).over(Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1))
+    last = last.select(*part, before["_label"].alias("_before"))
+    own = F.last("_label", True).over(Window.partitionBy(*part).orderBy("_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("_own", own).join(last, part).select(F.coalesce("_own", "_before").alias("label"), "line")
+
+
 def collect_rules(rules: DataFrame) -> list[Rule]:
     """Rules of recipe files for ``match_rules``. Recipes are hand-written configuration."""
     rows = rules.orderBy("file", "rule_no").collect()

@@ -88,6 +88,25 @@ def test_large_rules_cross_files(spark, tmp_path):
     assert {b.coords for r in back if len(r.boxes) == 40 for b in r.boxes} == {f"{i},2,{300 + i},4" for i in range(40)}
 
 
+def test_lines_of_rules_across_files_keep_their_rule(spark, tmp_path):
+    rows = [("CT", 5, 6, "Mk", "Mod", "", "", "v1", i, 2, 300 + i, 4) for i in range(40)]
+    rows += [("MR", 5, 6, "Mk", "", "s", "t", "", 1, 2, 3, 4)]
+    sets = spark.createDataFrame(rows, "modality string, n_rows int, n_cols int, manufacturer string, model string, sc_manufacturer string,"
+                                       "sc_model string, software string, box_left int, box_top int, box_right int, box_bottom int")
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "200"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        rules.snk_rules(sets, str(tmp_path / "out"))
+        lines = files.src_rule_lines(spark, str(tmp_path / "out")).withColumn("part", rules.line_part(F.col("line"))).collect()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert len(list((tmp_path / "out").glob("part-*"))) > 2
+    want = sorted((r.rule_key, r.part, r.line) for r in rules.rule_lines(sets).collect())
+    assert sorted((r.label.removeprefix("LABEL device "), r.part, r.line) for r in lines) == want
+
+
 def suggestion_tables(spark):
     keys = ("CT", "ORIGINAL/PRIMARY", 1024, 1024, "")
     review_rows = spark.createDataFrame([("file3", True, *keys), ("file4", False, *keys), ("file5", False, "MR", *keys[1:])],
