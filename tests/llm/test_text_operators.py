@@ -418,3 +418,35 @@ def test_pipeline_run(spark, tmp_path):
     assert sorted(map(str, whole.collect())) == sorted(map(str, docs.collect()))
     ids = {r["doc_id"] for r in whole.collect()}
     assert not {9001, 9002, 9003, 9004} & ids and len(ids) > 20
+
+
+def test_postings_of_lines_move_packed(spark):
+    rows = {"some": np.array([1, 0, 1]), "doc_id": np.array([-5, 0, 1 << 40]), "th": np.zeros(3, np.int64), "ln": np.array([0, 300, 7]), "n": np.array([1, 2, 3]),
+            "bits": np.array([0, 1 << 63, 1], np.uint64)}
+    parts = list(lines.unpacked(lines.packed(rows, [0, 1, 3]), lines.LINE))
+    assert [len(p["n"]) for p in parts] == [1, 2] and all((np.concatenate([p[c] for p in parts]) == rows[c]).all() for c in rows)
+    assert lines.ranks(rows).tolist() == [1, 0, 2]
+    texts = [f"{BASE} r{d} s{d}\n{BASE} u{d} v{d} w{d}" for d in range(200)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("th", F.lit(0).cast("bigint")).coalesce(2)
+    sets = lines.line_groups(lines.describe(frame, hashing.commonness(frame, lines.tokens), 80, 20_000)).where("lines is not null").cache()
+    none = np.zeros(0, np.int64)
+    n = sets.agg(F.sum("postings")).first()[0]
+    moved = lines.postings_of(sets, (none, none), 3)
+    assert n > 2000 and moved.agg(F.sum("rows.count")).first()[0] == n and moved.count() <= 3 * sets.count()
+    assert moved.select(F.expr("length(rows.th) + length(rows.ask)").alias("k")).where("k > 0").isEmpty()
+    sets.unpersist()
+
+
+def test_lines_of_repeated_and_missing_ids(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(25)]
+    texts = ["\n".join(" ".join(rng.choice(words, rng.integers(1, 8))) for _ in range(4)) for _ in range(60)]
+    rows = [(None if k % 3 == 0 else k % 7, t) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame([*rows, *rows[:20], (1, None), (None, None), (2, "")], "doc_id bigint, text string").withColumn("th", F.xxhash64("text"))
+    # Null first, then doc_id, then the hash of the text.
+    docs = sorted({((r["doc_id"] is not None, r["doc_id"] or 0, r["th"]), r["text"]) for r in frame.where("text is not null").collect()})
+    sets = [((*d, n), frozenset(line.split())) for d, t in docs for n, line in enumerate(t.split("\n"))]
+    want = {p for p, s in sets if s and any(q < p and 100 * len(s & t) >= 80 * len(s | t) for q, t in sets)}
+    got = lines.deduplicated(frame, keep=["doc_id", "th"], kept=1).collect()
+    assert {(r["doc_id"] is not None, r["doc_id"] or 0, r["th"], n) for r in got for n in r["removed"]} == want
+    assert len(got) == 83 and all(r["n_lines"] == 0 and r["text"] is None for r in got if r["th"] == 42)
