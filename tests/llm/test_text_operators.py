@@ -315,6 +315,46 @@ def test_jaccard_join_of_rows_without_id_repeats_and_long_texts(spark):
     assert jaccard.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_common_words_tie_no_documents(spark, monkeypatch):
+    """Counters far fuller than any shingle is common: runs of everyday words must not make candidates of unrelated documents."""
+    rng, rows = np.random.default_rng(11), []
+    for k in range(300):
+        rows.append((k, " ".join(f"c{rng.integers(0, 3)}" if rng.random() < 0.6 else f"r{rng.integers(0, 1 << 40)}" for _ in range(120))))
+    rows.append((300, rows[7][1] + " end"))
+    moved = []
+
+    def counted(members, *args, plain=jaccard.verified):
+        moved.append(members.count())
+        return plain(members, *args)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), buckets=1 << 8).collect()}
+    assert got == {k: 7 if k == 300 else k for k in range(301)}
+    assert 2 <= sum(moved) <= 30
+
+
+def test_reach_ties_all_similar_sets():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        rank, sets = rng.integers(0, 50, 3000), []
+        for _ in range(6):
+            base = rng.choice(3000, rng.integers(5, 60), replace=False)
+            for _ in range(5):
+                sets.append(np.unique(np.concatenate([base[rng.random(len(base)) > rng.choice([0, 0.05, 0.1, 0.2])], rng.choice(3000, rng.integers(1, len(base) // 6 + 2))])))
+        own = [jaccard._prefix(s.astype(np.uint64), rank[s], 80).astype(np.int64) for s in sets]
+        e, o = np.concatenate(own), np.repeat(np.arange(len(sets)), [len(x) for x in own])
+        m = np.array([len(s) for s in sets])[o]
+        reach = np.concatenate([jaccard.reach_of(len(s), len(x), 80) for s, x in zip(sets, own, strict=True)])
+        order = np.lexsort((o, -reach, m, e))
+        number = np.cumsum(jaccard._chains(e[order], m[order], reach[order])[0])
+        chains = [set(number[o[order] == k].tolist()) for k in range(len(sets))]
+        for a in range(len(sets)):
+            for b in range(a):
+                if jaccard.similar(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b])):
+                    assert chains[a] & chains[b]
+    assert jaccard.reach_of(100, 21, 80)[[0, 11, 20]].tolist() == [125, 100, 80]
+
+
 def test_signature_tree_finds_all_classes():
     rng = np.random.default_rng(7)
     sets = [np.unique(rng.integers(0, 1 << 63, 40, dtype=np.int64).astype(np.uint64)) for _ in range(3)]
